@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exactdedup, langid, media
+from tessera.llm import chat, exactdedup, langid, media, neardup
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_conversations(table(spark, sf_dir, "conversations"))
 
 
+def op9_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_id(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def queries() -> dict[str, Query]:
         "op2_media_fingerprints": op2_media_fingerprints,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_chat_format": op8_chat_format,
+        "op9_simhash_golay": op9_simhash_golay,
         "op10_language_id": op10_language_id,
     }
 
