@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exactdedup, langid
+from tessera.llm import exactdedup, langid, mixing, neardup, packing
 from tessera.session import fresh_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,7 +20,25 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exactdedup.drop_exact_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("language_id", language), ("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("source_mixing", mixed),
+    ("best_fit_packing", packed),
+]
 
 #: Language profiles, SimHash and the draw of blocks aren't SQL; tests hold each stage against brute force.
 ORACLE_SQL = None

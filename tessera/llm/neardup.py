@@ -29,9 +29,9 @@ from tessera.session import cut, settled
 SEGMENTS = 5
 BITS = SEGMENTS * golay.LENGTH
 #: Fingerprints of near duplicates differ in at most so many of the 115 bits.
-MAX_DISTANCE = 30
+MAX_DISTANCE = 34
 #: Near duplicates share at least this part of their features.
-MIN_JACCARD = 0.7
+MIN_JACCARD = 0.6
 #: Features kept of a document for verification: those of smallest hash, all where there are no more.
 SKETCH = 128
 _LONG = re.compile(r"[^\W\d_]{5,}")

@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exactdedup, langid, media, neardup
+from tessera.llm import chat, exactdedup, langid, media, mixing, neardup, packing
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.fingerprints(media.render_wav(table(spark, sf_dir, "embeddings")))
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("path", "row")
 
@@ -34,7 +42,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op2_media_fingerprints": op2_media_fingerprints,
+        "op3_source_mixing": op3_source_mixing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_chat_format": op8_chat_format,
         "op9_simhash_golay": op9_simhash_golay,
