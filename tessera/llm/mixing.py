@@ -22,6 +22,7 @@ from tessera.llm.tokens import VOCABULARY, codec
 from tessera.session import settled
 
 BLOCK, SHARD_SLOTS, SEED = 1024, 4096, 7
+_TURNS = np.array([t * 0x9E3779B97F4A7C15 % 2**64 for t in range(6)], np.uint64)
 #: Without given weights a source weighs as its tokens to this power: 1 as it is, 0 all alike.
 TEMPERATURE = 0.5
 NO_SOURCE = "unknown"
@@ -45,8 +46,8 @@ def permuted(position: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     todo = np.arange(len(x))
     while len(todo):
         left, right, k = x[todo] >> shift, x[todo] & mask, key[todo]
-        for turn in range(6):
-            left, right = right, left ^ (_mix64(right + k + np.uint64(turn) * np.uint64(0x9E3779B97F4A7C15)) & mask)
+        for turn in _TURNS:
+            left, right = right, left ^ (_mix64(right + k + turn) & mask)
         x[todo] = (left << shift) | right
         todo = todo[x[todo] >= n]
     return x.astype(np.int64)
