@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, exactdedup, langid, media, mixing, neardup, packing
+from tessera.llm import chat, crossparse, exactdedup, langid, media, mixing, neardup, packing, pii, secrets
 from tessera.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,19 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_spans(table(spark, sf_dir, "documents"))
+
+
+def op5_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").filter("quality = 1")
+    return crossparse.cross_parse_scores(table(spark, sf_dir, "documents"), good)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("path", "row")
 
@@ -45,6 +58,9 @@ def queries() -> dict[str, Query]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_media_fingerprints": op2_media_fingerprints,
         "op3_source_mixing": op3_source_mixing,
+        "op4_pii_spans": op4_pii_spans,
+        "op5_cross_parse": op5_cross_parse,
+        "op6_secret_scan": op6_secret_scan,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_chat_format": op8_chat_format,
         "op9_simhash_golay": op9_simhash_golay,
