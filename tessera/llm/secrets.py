@@ -1,8 +1,8 @@
 """Secret scans by dictionary-primed zstandard novelty.
 
 A candidate is a run of key characters in a sensitive context: after a word such as token or
-password, or with a prefix that credentials have. Its novelty is what it adds to the compressed size
-of the code around it, with zstandard primed by a dictionary of the corpus's own identifiers.
+password, or with a prefix that credentials have. Its novelty is what it adds in compressed bytes
+to the code around it, with zstandard primed by that code and a dictionary of the corpus's identifiers.
 Identifiers and repeated names add little; random strings add nearly their length.
 """
 
@@ -23,7 +23,7 @@ from tessera.llm.common import documents_only
 DICTIONARY_BYTES = 64 * 1024
 #: Characters on each side of a candidate that it is compressed with.
 AROUND = 256
-MIN_LENGTH, MIN_NOVELTY = 12, 0.7
+MIN_LENGTH, MIN_NOVELTY = 12, 0.9
 LEVEL = 3
 
 _WORDS = r"(?:api[_-]?key|apikey|access[_-]?key|private[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|token|auth(?:orization|[_-]?key)?|bearer|passw(?:or)?d|passphrase|pwd|credentials?)"
@@ -101,14 +101,21 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
 
 
 class Novelty:
+    """Measures strings against a dictionary of identifiers that the surroundings are appended to.
+
+    The string alone is compressed. The difference between compressing the surroundings with and
+    without it would be too rough: a few more literals can change how zstandard codes all of them.
+    """
+
     def __init__(self, primer: bytes):
-        known = {"dict_data": zstandard.ZstdCompressionDict(primer, dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if len(primer) >= 8 else {}
-        self._zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, **known)
+        self._primer = primer
 
     def added(self, before: str, candidate: str, after: str) -> int:
-        """Bytes that the candidate adds to its surroundings, compressed."""
-        size = lambda s: len(self._zstd.compress(s.encode("utf-8", "surrogatepass")))
-        return max(0, size(before + candidate + after) - size(before + after))
+        """Bytes that the candidate takes beyond what an empty frame does."""
+        around = (after + before).encode("utf-8", "surrogatepass")  # what stands before is nearest
+        known = zstandard.ZstdCompressionDict(self._primer + around + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False).compress
+        return max(0, len(size(candidate.encode())) - len(size(b"")))
 
 
 _FOUND = "doc_id long, start int, end int, context string, found string, added_bytes int, novelty double"
