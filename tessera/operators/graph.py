@@ -76,9 +76,10 @@ def bfs(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def bfs_parents(edges: DataFrame, tree: DataFrame) -> DataFrame:
-    """(root, id, parent) of the shortest-path graph of each root."""
-    up = tree.select("root", F.col("id").alias("parent"), (F.col("level") + 1).alias("level"))
-    return tree.join(edges, tree.id == edges.dst).join(up, (tree.root == up.root) & (edges.src == up.parent) & (tree.level == up.level)).select(tree.root, tree.id, "parent")
+    """(root, id, parent, level, share) of the shortest-path graph: the share of the paths to ``id`` that come by ``parent``."""
+    up = tree.select("root", F.col("id").alias("parent"), (F.col("level") + 1).alias("level"), F.col("n_paths").alias("up"))
+    out = up.join(edges.select(F.col("src").alias("parent"), F.col("dst").alias("id")), "parent")
+    return out.join(tree, ["root", "id", "level"]).select("root", "id", "parent", "level", (F.col("up") / F.col("n_paths")).alias("share"))
 
 
 def edge_betweenness(edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -88,12 +89,7 @@ def edge_betweenness(edges: DataFrame, roots: DataFrame | None = None) -> DataFr
     """
     roots = vertices(edges) if roots is None else roots
     tree = bfs(edges, roots)
-    down = cut(
-        bfs_parents(edges, tree)
-        .join(tree.select("root", "id", "level", F.col("n_paths").alias("paths")), ["root", "id"])
-        .join(tree.select("root", F.col("id").alias("parent"), F.col("n_paths").alias("up")), ["root", "parent"])
-        .select("root", "id", "parent", "level", (F.col("up") / F.col("paths")).alias("share"))
-    )
+    down = cut(bfs_parents(edges, tree))
     deepest = down.agg(F.max("level")).first()[0]
     flows, below = None, None
     for level in range(deepest or 0, 0, -1):

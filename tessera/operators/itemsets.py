@@ -65,7 +65,8 @@ def hashed_pair_candidates(basket_table: DataFrame, support: int, buckets: int =
     rows = _long(basket_table)
     good = rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("item")
     kept = rows.join(good, "item", "left_semi")
-    pairs = kept.toDF("key", "a").join(kept.toDF("key", "b"), "key").filter("a < b").select("a", "b").withColumn("bucket", bucket(buckets, "a", "b"))
+    left, right = kept.select("key", F.col("item").alias("a")), kept.select("key", F.col("item").alias("b"))
+    pairs = left.join(right, "key").filter("a < b").select("a", "b").withColumn("bucket", bucket(buckets, "a", "b"))
     full = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("bucket")
     return pairs.join(full, "bucket", "left_semi").select("a", "b").distinct()
 
