@@ -371,7 +371,8 @@ def mean_of_means(spark, sf_dir):
 def _by_items(spark, sf_dir, normalized: bool) -> DataFrame:
     ratings = _ratings(spark, sf_dir)
     found = recommend.predict_by_items(ratings, ratings, pearson_items(spark, sf_dir), K_ITEMS, normalized)
-    return found.withColumn("prediction", F.round("prediction", 4))
+    # Sums of products have six places exactly; quotients are cut off where no tie is likely.
+    return found.withColumn("prediction", F.round("prediction", 4 if normalized else 6))
 
 
 @_query(S.predict_items(K_ITEMS, True))

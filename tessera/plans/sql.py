@@ -71,7 +71,7 @@ near AS (SELECT w."user", w.item, r.rating, sim, row_number() OVER (PARTITION BY
          FROM want w JOIN rt r ON r."user" = w."user" JOIN both_ways m ON m.x = w.item AND m.y = r.item),
 scored AS (SELECT "user", item, {score} AS score FROM near WHERE k <= {k} GROUP BY 1, 2),
 means AS (SELECT item, avg(rating) AS mean FROM rt GROUP BY 1)
-SELECT "user", item, round(coalesce(score, mean, (SELECT avg(mean) FROM means)), 4) AS prediction
+SELECT "user", item, round(coalesce(score, mean, (SELECT avg(mean) FROM means)), {4 if normalized else 6}) AS prediction
 FROM want LEFT JOIN scored USING ("user", item) LEFT JOIN means USING (item)"""
     )
 
