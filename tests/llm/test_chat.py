@@ -1,0 +1,38 @@
+import random
+
+import duckdb
+import pandas as pd
+from pyspark.sql import types as T
+
+from tessera.llm import chat
+
+
+def brute(rows):
+    out = {}
+    for c in {r[0] for r in rows} - {None}:
+        turns = sorted(((t is not None, t or 0), r or "unknown", x or "") for k, t, r, x in rows if k == c)
+        merged = []
+        for _, role, text in turns:
+            if merged and merged[-1][0] == role:
+                merged[-1][1].append(text)
+            else:
+                merged.append((role, [text]))
+        text = "".join(f"<|im_start|>{r}\n" + "\n".join(x) + "<|im_end|>\n" for r, x in merged)
+        out[c] = (len(turns), len(merged), " ".join(r for r, _ in merged), text)
+    return out
+
+
+SCHEMA = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.LongType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType()), T.StructField("turns", T.StringType())])
+
+
+def test_against_brute_force_and_sql(spark):
+    random.seed(6)
+    rows = [(random.choice([1, 2, 3, None]), random.choice([0, 1, 2, 3, None]), random.choice(["user", "assistant", None]), random.choice(["hi", "", None, "é\nb"])) for _ in range(120)]
+    rows += [(9, i, "user", "x" * 50) for i in range(3000)] + [(10, 0, None, None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], SCHEMA)
+    got = {r.conv_id: tuple(r)[1:] for r in chat.format_conversations(df).collect()}
+    assert got == brute(rows)
+    con = duckdb.connect()
+    con.register("conversations", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"}))
+    assert {r[0]: tuple(r[1:]) for r in con.execute(chat.FORMAT_SQL).fetchall()} == got
+    assert chat.format_conversations(df.limit(0)).count() == 0

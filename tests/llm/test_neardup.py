@@ -1,0 +1,135 @@
+import random
+from collections import defaultdict
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pytest
+from fixtures import AWKWARD, documents
+
+from tessera.llm import golay, neardup
+
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
+def test_golay_code_is_perfect():
+    words = np.random.default_rng(1).integers(0, 1 << 23, 500)
+    near = golay.near(words)
+    codewords = np.arange(1 << 23)[golay.syndromes(np.arange(1 << 23)) == 0]
+    assert len(codewords) == 4096 and len(set(codewords >> 11)) == 4096
+    for w, found in zip(words, near):
+        d = np.bitwise_count(codewords ^ w)
+        assert (d <= 3).sum() == 1 and found[0] == codewords[d <= 3][0] >> 11
+        assert set(found[found >= 0]) == set(codewords[d <= 4] >> 11)
+
+
+def test_words_one_bit_apart_share_a_codeword():
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 1 << 23, 1000)
+    b = a ^ (1 << rng.integers(0, 23, 1000))
+    assert all(set(x[x >= 0]) & set(y[y >= 0]) for x, y in zip(golay.near(a), golay.near(b)))
+
+
+def test_bucket_edges_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    n = 300
+    key = np.sort(rng.integers(0, 12, n))
+    hi, lo = rng.integers(0, 1 << 12, n), np.zeros(n, np.int64)
+    node = np.arange(n) * 7
+
+    def groups(pairs):
+        root = {int(x): int(x) for x in node}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(int(b))] = find(int(a))
+        return sorted(sorted(g) for g in _classes(root, find).values())
+
+    a, b = neardup.bucket_edges(key, node, hi, lo, 3)
+    brute = [(node[i], node[j]) for i, j in combinations(range(n), 2) if key[i] == key[j] and bin(hi[i] ^ hi[j]).count("1") <= 3]
+    assert {(min(x), max(x)) for x in zip(a, b)} <= {(min(x), max(x)) for x in brute}
+    assert groups(zip(a, b)) == groups(brute)
+
+
+def _classes(root, find):
+    out = defaultdict(list)
+    for x in root:
+        out[find(x)].append(x)
+    return out
+
+
+def brute_groups(rows):
+    """Components over all pairs that are close and similar."""
+    sign = neardup.Signer()
+    hashes, sums = sign.sign([t for _, t, *_ in rows])
+    hi, lo = neardup.fingerprint_bits(sums)
+    sketches = [set(h[: neardup.SKETCH].tolist()) for h in hashes]
+    pairs = []
+    for i in range(len(rows)):
+        close = np.flatnonzero(np.bitwise_count(hi[i] ^ hi[i + 1 :]) + np.bitwise_count(lo[i] ^ lo[i + 1 :]) <= neardup.MAX_DISTANCE) + i + 1
+        for j in close:
+            least = set(sorted(sketches[i] | sketches[j])[: neardup.SKETCH])
+            if least and len(least & sketches[i] & sketches[j]) >= neardup.MIN_JACCARD * len(least):
+                pairs.append((i, j))
+    return pairs
+
+
+def test_recall_against_brute_force(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SF}'").fetchall()
+    group = {r.doc_id: r.group_id for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    pairs = [(rows[i][0], rows[j][0]) for i, j in brute_groups(rows)]
+    assert len(pairs) > 100
+    assert sum(group[a] == group[b] for a, b in pairs) >= 0.95 * len(pairs)
+    # No more than all pairs connect.
+    root = {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        root[find(b)] = find(a)
+    assert all(find(i) == find(g) for i, g in group.items())
+
+
+def edited(words, n, rng):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = "".join(rng.choice("abcdefghij") for _ in range(8))
+    return " ".join(words)
+
+
+def test_planted_copies_go_and_clean_documents_stay(spark):
+    rng = random.Random(9)
+    rows, copies = [], set()
+    for i in range(40):
+        words = ["".join(rng.choice("klmnopqrst") for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(80, 300))]
+        rows.append((i * 10, " ".join(words), "en", "s"))
+        for j in range(i % 3):
+            rows.append((i * 10 + j + 1, edited(words, len(words) // 40, rng), "en", "s"))
+            copies.add(i * 10 + j + 1)
+    docs = documents(spark, rows)
+    kept = {r.doc_id for r in neardup.drop_near_duplicates(docs).collect()}
+    assert {r.doc_id for r in neardup.near_duplicates(docs).collect() if r.keep} == kept
+    assert kept >= {i * 10 for i in range(40)} and len(kept & copies) <= 0.1 * len(copies)
+
+
+def test_awkward(spark):
+    docs = documents(spark, AWKWARD)
+    got = neardup.near_duplicates(docs).collect()
+    assert len(got) == len(AWKWARD) - 1  # one row is repeated
+    assert all(r.group_id == r.doc_id and r.keep for r in got)
+    kept = neardup.drop_near_duplicates(docs)
+    assert kept.count() == len(AWKWARD) and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert neardup.near_duplicates(docs.limit(0)).count() == neardup.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [2, 50])
+def test_components_of_a_chain(spark, n):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
+    assert {r.node: r.label for r in neardup.components(edges).collect()} == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}

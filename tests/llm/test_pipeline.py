@@ -1,0 +1,42 @@
+from collections import Counter
+
+import corpus_pipeline
+from fixtures import AWKWARD, documents
+
+from tessera.llm.tokens import codec
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "source_mixing", "best_fit_packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    seen = [docs]
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, seen[-1], SF)
+        out.write.parquet(str(tmp_path / name))
+        seen.append(spark.read.parquet(str(tmp_path / name)))
+        if i < 4:
+            assert seen[-1].columns == docs.columns and [f.dataType for f in seen[-1].schema] == [f.dataType for f in docs.schema]
+    texts = [[r.text for r in x.select("text").collect()] for x in seen[:5]]
+    assert len(texts[1]) >= 0.98 * len(texts[0])
+    assert Counter(texts[2]) == Counter(set(texts[1]))
+    assert set(texts[3]) <= set(texts[2]) and len(texts[3]) >= 0.7 * len(texts[2])
+    whole = {r.doc_id: r.text for r in seen[3].collect()}
+    parts = seen[4].collect()
+    assert all(p.text in whole[p.doc_id] for p in parts)
+    c = codec()
+    placed = seen[5].agg({"length": "sum"}).first()[0]
+    assert placed == sum(len(c.encode(p.text)) // 2 + 1 for p in parts)
+
+
+def test_run(spark):
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.columns == ["doc_id", "chunk", "start", "length", "bin", "offset"] and rows.count() > 100
+
+
+def test_awkward(spark):
+    for rows in (AWKWARD, []):
+        docs = documents(spark, rows)
+        for _, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, SF).collect()
