@@ -28,14 +28,18 @@ LEVEL = 3
 
 _WORDS = r"(?:api[_-]?key|apikey|access[_-]?key|private[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|token|auth(?:orization|[_-]?key)?|bearer|passw(?:or)?d|passphrase|pwd|credentials?)"
 _PREFIX = r"(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|rk_live_|xox[abprs]-|AIza|npm_|eyJ)"
-_KEY = r"[A-Za-z0-9+/_=.~-]"
+_KEY = r"[A-Za-z0-9+/_.~-]"
+#: A colon, an equals sign, an arrow or "is", with or without quotes, on one line; after "bearer" a space will do.
+_GIVES = r"[\"'`]?[ \t]{0,3}(?::=|=>|[:=]|\bis\b)[ \t]{0,3}[\"'`]?"
 _CANDIDATE = re.compile(
-    rf"(?P<word>{_WORDS})[\w-]{{0,24}}[\"'`]?\s{{0,3}}(?:[:=]|=>|:=|\bis\b)?\s{{0,3}}[\"'`]?(?P<a>{_KEY}{{{MIN_LENGTH},}})"
-    rf"|(?<![A-Za-z0-9_])(?P<b>{_PREFIX}{_KEY}{{{MIN_LENGTH - 2},}})",
+    rf"(?P<word>{_WORDS})[\w-]{{0,24}}(?:{_GIVES}|(?<=[Bb]earer)[ \t]+)(?P<a>{_KEY}{{{MIN_LENGTH},}}={{0,2}})"
+    rf"|(?<![A-Za-z0-9_])(?P<b>{_PREFIX}{_KEY}{{{MIN_LENGTH - 2},}}={{0,2}})",
     re.I,
 )
 _PREFIXED = re.compile(_PREFIX)
 _IDENTIFIER = re.compile(r"[^\W\d][\w$]{2,39}")
+#: What of a candidate may be words: a secret's own letters are rarely in this form.
+_WORD_PART = re.compile(r"[A-Z]?[a-z]{3,}")
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
@@ -63,7 +67,10 @@ def _blanked(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def identifier_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): how often each identifier stands in all the texts, candidates taken out."""
+    """(word, n): how often each identifier stands in all the texts; of candidates, the words in them.
+
+    A secret that is copied often must not make itself known.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -78,6 +85,8 @@ def identifier_counts(docs: DataFrame) -> DataFrame:
                 if text:
                     spans = candidates(text)
                     seen.update(_IDENTIFIER.findall(_blanked(text, spans) if spans else text))
+                    for start, end, _ in spans:
+                        seen.update(_WORD_PART.findall(text, start, end))
             if len(seen) > 200_000:
                 yield flush()
         if seen:
