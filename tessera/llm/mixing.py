@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import DOCUMENT_COLUMNS, documents_only
 from tessera.llm.tokens import VOCABULARY, codec
-from tessera.session import settled
+from tessera.session import cut, settled
 
 BLOCK, SHARD_SLOTS, SEED = 1024, 4096, 7
 _TURNS = np.array([t * 0x9E3779B97F4A7C15 % 2**64 for t in range(6)], np.uint64)
 #: Without given weights a source weighs as its tokens to this power: 1 as it is, 0 all alike.
 TEMPERATURE = 0.5
 NO_SOURCE = "unknown"
+#: Rows of the offsets' table up to which it is broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def _mix64(x: np.ndarray) -> np.ndarray:
@@ -94,6 +96,9 @@ def _segments(tokens: DataFrame, block: int) -> DataFrame:
     totals = tokens.groupBy("source", "part").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("source", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
+    offsets = cut(offsets)  # a row for each source and partition; few enough, they go to the tokens instead of these to them
+    if offsets.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     start = F.col("before") + F.col("offset")
     begun = tokens.join(offsets, ["source", "part"]).withColumn("start", start)
 
@@ -159,7 +164,9 @@ def draw_slots(
     earlier = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     by_shard = numbered.filter("n > 0").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("s", "n", "first"))).alias("drawn"))
-    return by_shard.mapInPandas(fill, "shard long, slot long, source string, epoch long, block long")
+    slots = by_shard.mapInPandas(fill, "shard long, slot long, source string, epoch long, block long")
+    # There are as many slots as the data has blocks, which Spark can't tell: they must not be broadcast.
+    return slots.hint("shuffle_hash")
 
 
 def mix(
@@ -216,6 +223,6 @@ def mixed_documents(
         c = codec(vocabulary)
         return pd.Series([c.decode(a, b) for a, b in zip(ids, after)], dtype=object)
 
-    drawn = _segments(tokens, block).join(slots.select("source", "block"), ["source", "block"])
+    drawn = _segments(tokens, block).join(slots.select("source", "block").hint("shuffle_hash"), ["source", "block"])
     rows = drawn.select("doc_id", text("tokens", "after").alias("text"), "lang", "source")
     return rows.filter("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
