@@ -1,0 +1,26 @@
+import os
+import shutil
+import subprocess
+import sys
+
+import __spark_entry__ as e
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def test_entry(spark):
+    df = e.entry(spark)
+    assert df.columns == ["word", "n"] and df.count() == 20
+
+
+def test_sql_is_of_queries():
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_imports_without_the_subpackage(tmp_path):
+    for name in ("tessera", "__spark_entry__.py"):
+        copy = shutil.copytree if os.path.isdir(f"{ROOT}/{name}") else shutil.copy
+        copy(f"{ROOT}/{name}", tmp_path / name)
+    shutil.rmtree(tmp_path / "tessera" / "llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'top_words' in q and not any(x.startswith('op') or x == 'pipeline' for x in q); e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
