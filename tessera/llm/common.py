@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +33,9 @@ def documents_only(docs: DataFrame) -> DataFrame:
     return docs.select(*document_columns(docs))
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit hash that tells rows apart also where the first column is null or repeated."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that few texts are Python strings at a time; what they took is given back after the last."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()

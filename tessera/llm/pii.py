@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import documents_only
+from tessera.llm.common import documents_only, sliced
 
 
 class Rewriting:
@@ -87,13 +87,15 @@ _SOME = re.compile(rf"\b(?:{_SPELLED})\b", re.I)
 
 _AT_WORD, _DOT_WORD = r"(?:at|ät|arobase|arroba)", r"(?:dot|punkt|point|punto)"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
-_MARKED_AT = rf"\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_SHUT}\s*"
-_MARKED_DOT = rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_SHUT}\s*"
-_AT = rf"(?:{_MARKED_AT}|\s+{_AT_WORD}\s+|\s+@\s+|\s+@|@\s+|@)"
+_MARKED_AT = rf"(?:\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_SHUT}\s*|&#64;|&commat;|%40)"
+_MARKED_DOT = rf"(?:\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_SHUT}\s*|&#46;|&period;|[_-]{_DOT_WORD}[_-])"
+_BARE_AT = rf"(?:\s+{_AT_WORD}\s+|[_-]{_AT_WORD}[_-])"
+_AT = rf"(?:{_MARKED_AT}|{_BARE_AT}|\s+@\s+|\s+@|@\s+|@)"
 _DOT = rf"(?:{_MARKED_DOT}|\s+{_DOT_WORD}\s+|\s+\.\s+|\.)"
 _NAME, _LABEL = r"[^\W_](?:[\w%+-]*\w)?", r"[^\W_](?:[\w-]*[^\W_])?"
 _DISGUISED = re.compile(rf"\b{_NAME}(?:{_DOT}{_NAME}){{0,4}}?(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{1,6}})", re.I)
-_HINT = re.compile(rf"\b{_AT_WORD}\b|@", re.I)
+_HINT = re.compile(rf"\b{_AT_WORD}\b|[_-]{_AT_WORD}[_-]|@|&#64;|&commat;|%40", re.I)
+_PLAIN_AT = re.compile(_BARE_AT, re.I)
 _DOT_PART, _ANY_DOT = re.compile(_DOT, re.I), re.compile(rf"{_MARKED_DOT}|\s+{_DOT_WORD}\s+", re.I)
 
 
@@ -124,7 +126,7 @@ def at_and_dot(text: str) -> Rewriting:
     if _HINT.search(text):
         for m in _DISGUISED.finditer(text):
             domain, at = m["domain"], m["at"]
-            if re.fullmatch(rf"\s+{_AT_WORD}\s+", at, re.I) and not _ANY_DOT.search(domain):
+            if _PLAIN_AT.fullmatch(at) and not _ANY_DOT.search(domain):
                 continue
             if not re.search(r"[^\W\d_]{2,}$", domain):
                 continue
@@ -193,14 +195,22 @@ def find_pii(text: str | None) -> list[tuple[int, int, str, str]]:
         now = steps[-1].text
     out = []
     for start, end, kind, form in detect(now):
-        disguised = False
         for step in reversed(steps):
-            wide = step.back(start, end)
-            disguised |= step.text[start:end] != now[start:end] or wide[1] - wide[0] != end - start
-            start, end = wide
+            start, end = step.back(start, end)
         if kind == "phone" and re.fullmatch(r"\d{10,11}", text[start:end]):
             continue  # bare digits are as likely some other number
         out.append((start, end, kind, form))
+    return sorted([*out, *_spelled_numbers(steps, out)])
+
+
+def _spelled_numbers(steps: list[Rewriting], known: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Runs of seven to fifteen digits that were spelled out and are nothing else: telephone numbers, unless they only count up."""
+    out = []
+    for start, end, new in steps[1].edits:
+        digits = re.sub(r"\D", "", new)
+        start, end = steps[0].back(start, end)
+        if 7 <= len(digits) <= 15 and digits not in "01234567890123456789" and all(end <= s or e <= start for s, e, _, _ in known):
+            out.append((start, end, "phone", ("+" if new.startswith("+") else "") + digits))
     return out
 
 
@@ -219,7 +229,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     """
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 rows += [(doc_id, kind, s, e, text[s:e], form) for s, e, kind, form in find_pii(text)]
