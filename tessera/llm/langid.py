@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -156,11 +157,13 @@ def prototypes(
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         profiler, sums = Profiler(dim, seed), {}
         for b in batches:
-            v = profiler.vectors(b["text"].tolist()).astype(np.float64)
-            lengths = np.linalg.norm(v, axis=1, keepdims=True)
-            v /= np.where(lengths == 0, 1, lengths)
-            for lang, at in b.groupby("lang").indices.items():
-                sums[lang] = sums.get(lang, 0) + v[at].sum(axis=0)
+            for start in range(0, len(b), _CHUNK_DOCS):
+                part = b.iloc[start : start + _CHUNK_DOCS]
+                v = profiler.vectors(part["text"].tolist()).astype(np.float64)
+                lengths = np.linalg.norm(v, axis=1, keepdims=True)
+                v /= np.where(lengths == 0, 1, lengths)
+                for lang, at in part.groupby("lang").indices.items():
+                    sums[lang] = sums.get(lang, 0) + v[at].sum(axis=0)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [x.tolist() for x in sums.values()]})
 
@@ -190,30 +193,31 @@ def scored(docs: DataFrame, models: dict[str, np.ndarray], dim: int = DIM, seed:
     names = sorted(models)
     matrix = np.stack([models[n] for n in names], axis=1) if names else np.zeros((dim, 0), np.float32)
 
-    @F.pandas_udf(_RESULT)
-    def identify(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    fields = [pa.field("predicted", pa.string()), pa.field("similarity", pa.float64()), pa.field("margin", pa.float64()), pa.field("trigrams", pa.int64())]
+
+    def some(profiler: Profiler, texts: list[str | None]) -> pa.StructArray:
+        v = profiler.vectors(texts)
+        lengths = np.linalg.norm(v, axis=1)
+        none = (lengths == 0) | (not names)
+        cos = (v @ matrix) / np.where(lengths == 0, 1, lengths)[:, None] if names else np.zeros((len(v), 1))
+        order = np.argsort(-cos, axis=1, kind="stable")
+        best = np.take_along_axis(cos, order[:, :1], 1)[:, 0]
+        second = np.take_along_axis(cos, order[:, 1:2], 1)[:, 0] if len(names) > 1 else np.zeros(len(v))
+        found = [
+            pa.array([None if no else names[i] for i, no in zip(order[:, 0], none)], pa.string()),
+            pa.array(best, pa.float64(), mask=none),
+            pa.array(best - second, pa.float64(), mask=none),
+            pa.array(profiler.sizes, pa.int64()),
+        ]
+        return pa.StructArray.from_arrays(found, fields=fields)
+
+    @F.arrow_udf(_RESULT)
+    def identify(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         profiler = Profiler(dim, seed)
-        for texts in batches:
-            v = profiler.vectors(texts.tolist())
-            lengths = np.linalg.norm(v, axis=1)
-            any_letter = (lengths > 0) & bool(names)
-            cos = (v @ matrix) / np.where(lengths == 0, 1, lengths)[:, None]
-            if not names:
-                yield pd.DataFrame(
-                    {"predicted": pd.Series([None] * len(v), dtype=object), "similarity": np.nan, "margin": np.nan, "trigrams": 0}
-                )
-                continue
-            order = np.argsort(-cos, axis=1, kind="stable")
-            best = np.take_along_axis(cos, order[:, :1], 1)[:, 0]
-            second = np.take_along_axis(cos, order[:, 1:2], 1)[:, 0] if len(names) > 1 else np.zeros(len(v))
-            yield pd.DataFrame(
-                {
-                    "predicted": [names[i] if ok else None for i, ok in zip(order[:, 0], any_letter)],
-                    "similarity": np.where(any_letter, best, np.nan).astype(float),
-                    "margin": np.where(any_letter, best - second, np.nan).astype(float),
-                    "trigrams": profiler.sizes,
-                }
-            )
+        for b in batches:
+            parts = [some(profiler, b.slice(at, _CHUNK_DOCS).to_pylist()) for at in range(0, len(b), _CHUNK_DOCS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+        pa.default_memory_pool().release_unused()
 
     return docs.withColumn("__lid", identify(F.col("text")))
 
@@ -246,13 +250,12 @@ def language_id(
     docs = documents_only(docs)
     models = prototypes(docs, per_language, dim, seed)
     out = scored(docs.select("doc_id", "text", "lang"), models, dim, seed)
-    number = lambda c: F.when(~F.isnan(c), c)
     return out.select(
         "doc_id",
         "lang",
         F.col("__lid.predicted").alias("predicted"),
-        number(F.col("__lid.similarity")).alias("similarity"),
-        number(F.col("__lid.margin")).alias("margin"),
+        F.col("__lid.similarity").alias("similarity"),
+        F.col("__lid.margin").alias("margin"),
         _accepted(min_similarity, judged_from, bool(models)).alias("accepted"),
     )
 

@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import DOCUMENT_COLUMNS, documents_only
-from tessera.llm.tokens import VOCABULARY, codec
+from tessera.llm.common import DOCUMENT_COLUMNS, documents_only, sliced
+from tessera.llm.tokens import VOCABULARY, codec, release
 from tessera.session import cut, settled
 
 BLOCK, SHARD_SLOTS, SEED = 1024, 4096, 7
@@ -70,22 +70,20 @@ def tokenised(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, part, ends = codec(vocabulary), TaskContext.get().partitionId(), {}
         stop = np.array([c.end], "<u2").tobytes()
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                rows = b.slice(at, 1000)
-                made = [c.encode(t) for t in rows.column("text").to_pylist()]
-                keep = np.array([bool(x) for x in made])
-                before, n = [], []
-                for s, x in zip(rows.column("source").to_pylist(), made):
-                    if x:
-                        before.append(ends.get(s, 0))
-                        n.append(len(x) // 2 + 1)
-                        ends[s] = before[-1] + n[-1]
-                kept = rows.filter(pa.array(keep))
-                yield pa.record_batch(
-                    [*(kept.column(x) for x in ("doc_id", "lang", "source")), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array([x + stop for x in made if x], pa.binary())],
-                    names=["doc_id", "lang", "source", "part", "before", "n", "tokens"],
-                )
+        for rows in sliced(batches):
+            made = [c.encode(t) for t in rows.column("text").to_pylist()]
+            before, n = [], []
+            for s, x in zip(rows.column("source").to_pylist(), made):
+                if x:
+                    before.append(ends.get(s, 0))
+                    n.append(len(x) // 2 + 1)
+                    ends[s] = before[-1] + n[-1]
+            kept = rows.filter(pa.array([bool(x) for x in made], pa.bool_()))
+            yield pa.record_batch(
+                [*(kept.column(x) for x in ("doc_id", "lang", "source")), pa.array([part] * len(n), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array([x + stop for x in made if x], pa.binary())],
+                names=["doc_id", "lang", "source", "part", "before", "n", "tokens"],
+            )
+        release()
 
     named = docs.select("doc_id", "lang", F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), "text")
     return settled(named.mapInArrow(encode, "doc_id long, lang string, source string, part int, before long, n long, tokens binary"), "tokens")
@@ -218,11 +216,13 @@ def mixed_documents(
     sources = _sources(tokens, block)
     slots = draw_slots(docs.sparkSession, sources, shares(sources, weights, temperature), sum(b for _, _, b in sources), shard_slots, seed)
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series, after: pd.Series) -> pd.Series:
-        c = codec(vocabulary)
-        return pd.Series([c.decode(a, b) for a, b in zip(ids, after)], dtype=object)
+    def text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decode = codec(vocabulary).decode
+        for b in sliced(batches):
+            made = [decode(ids, after) for ids, after in zip(b.column("tokens").to_pylist(), b.column("after").to_pylist())]
+            yield pa.record_batch([b.column("doc_id"), pa.array(made, pa.string()), b.column("lang"), b.column("source")], names=["doc_id", "text", "lang", "source"])
+        release()
 
     drawn = _segments(tokens, block).join(slots.select("source", "block").hint("shuffle_hash"), ["source", "block"])
-    rows = drawn.select("doc_id", text("tokens", "after").alias("text"), "lang", "source")
+    rows = drawn.select("doc_id", "lang", "source", "tokens", "after").mapInArrow(text, "doc_id long, text string, lang string, source string")
     return rows.filter("text <> ''").withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import golay
-from tessera.llm.common import DOCUMENT_COLUMNS, documents_only
+from tessera.llm.common import DOCUMENT_COLUMNS, documents_only, sliced
 from tessera.session import cut, settled
 
 SEGMENTS = 5
@@ -37,8 +37,7 @@ SKETCH = 128
 _LONG = re.compile(r"[^\W\d_]{5,}")
 _WORD = re.compile(r"\w+")
 _FEW = 8
-_CACHED_WORDS = 300_000
-_CHUNK = 150_000
+_CACHED_WORDS = 150_000
 
 
 def features(text: str) -> set[str]:
@@ -128,25 +127,22 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer()
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for start in range(0, len(texts), 500):
-                part = texts[start : start + 500]
-                hashes, sums = signer.sign(part)
-                hi, lo = fingerprint_bits(sums)
-                none = np.array([len(h) == 0 for h in hashes])
-                node = [None if not len(h) else xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in hashes]
-                yield pa.record_batch(
-                    [
-                        b.column("doc_id").slice(start, 500),
-                        b.column("thash").slice(start, 500),
-                        pa.array(node, pa.int64()),
-                        pa.array(hi, pa.int64(), mask=none),
-                        pa.array(lo, pa.int64(), mask=none),
-                        pa.array([h[:SKETCH].view(np.int32) for h in hashes], pa.list_(pa.int32())),
-                    ],
-                    names=["doc_id", "thash", "node", "hi", "lo", "sketch"],
-                )
+        for b in sliced(batches):
+            hashes, sums = signer.sign(b.column("text").to_pylist())
+            hi, lo = fingerprint_bits(sums)
+            none = np.array([len(h) == 0 for h in hashes])
+            node = [None if not len(h) else xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in hashes]
+            yield pa.record_batch(
+                [
+                    b.column("doc_id"),
+                    b.column("thash"),
+                    pa.array(node, pa.int64()),
+                    pa.array(hi, pa.int64(), mask=none),
+                    pa.array(lo, pa.int64(), mask=none),
+                    pa.array([h[:SKETCH].view(np.int32) for h in hashes], pa.list_(pa.int32())),
+                ],
+                names=["doc_id", "thash", "node", "hi", "lo", "sketch"],
+            )
 
     return docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").mapInArrow(sign, _SIGNED)
 

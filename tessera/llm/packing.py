@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents_only
-from tessera.llm.tokens import VOCABULARY, codec
+from tessera.llm.common import documents_only, sliced
+from tessera.llm.tokens import VOCABULARY, codec, release
 from tessera.session import settled
 
 CAPACITY = 2048
@@ -80,9 +80,10 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = codec(vocabulary).encode
-        for b in batches:
+        for b in sliced(batches):
             n = [len(encode(t)) // 2 for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), b.column("tie"), pa.array(n, pa.int64())], names=["doc_id", "tie", "n_tokens"])
+        release()
 
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(count, "doc_id long, tie long, n_tokens long")
 

@@ -10,7 +10,7 @@ import tiktoken
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Words with the space before them, digits, signs and white space; no token crosses these.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_MOST_CACHED = 300_000
+_MOST_CACHED = 100_000
 _loaded: dict[str, Codec] = {}
 
 
@@ -72,6 +72,11 @@ class Codec:
         return own.decode("utf-8", "replace")
 
 
+def release() -> None:
+    """Lets go of what was read: a worker that goes on to other tasks needn't hold it."""
+    _loaded.clear()
+
+
 def codec(path: str = VOCABULARY) -> Codec:
     """The codec of a vocabulary file, read once in a process."""
     if path not in _loaded:
