@@ -83,7 +83,7 @@ _UNIT = rf"(?:(?:double|triple)\s+)?(?:{_SPELLED})"
 _BETWEEN = r"(?:\s?[,;/-]\s?|\s+)"
 _RUN = re.compile(rf"\b(?:plus\s+)?(?:{_UNIT}|\d{{1,4}}){_BETWEEN}(?:(?:dash|hyphen|dot|point)\s+)?(?:{_UNIT}|\d{{1,4}})(?:{_BETWEEN}(?:(?:dash|hyphen|dot|point)\s+)?(?:{_UNIT}|\d{{1,4}}))+\b", re.I)
 _PIECE = re.compile(rf"(?:(double|triple)\s+)?\b({_SPELLED})\b|(\d+)|\b(plus)\b|\b(dash|hyphen)\b|\b(dot|point)\b", re.I)
-_SOME = re.compile(rf"\b(?:{_SPELLED})\b", re.I)
+_NEIGHBOURS = re.compile(rf"\b(?:{_SPELLED}){_BETWEEN}(?:(?:dash|hyphen|dot|point|double|triple)\s+)*(?:{_SPELLED})\b", re.I)
 
 _AT_WORD, _DOT_WORD = r"(?:at|ät|arobase|arroba)", r"(?:dot|punkt|point|punto)"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
@@ -93,22 +93,26 @@ _BARE_AT = rf"(?:\s+{_AT_WORD}\s+|[_-]{_AT_WORD}[_-])"
 _AT = rf"(?:{_MARKED_AT}|{_BARE_AT}|\s+@\s+|\s+@|@\s+|@)"
 _DOT = rf"(?:{_MARKED_DOT}|\s+{_DOT_WORD}\s+|\s+\.\s+|\.)"
 _NAME, _LABEL = r"[^\W_](?:[\w%+-]*\w)?", r"[^\W_](?:[\w-]*[^\W_])?"
-_DISGUISED = re.compile(rf"\b{_NAME}(?:{_DOT}{_NAME}){{0,4}}?(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{1,6}})", re.I)
+_TAIL = re.compile(rf"(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{1,6}})", re.I)
+_HEAD = re.compile(rf"\b{_NAME}(?:{_DOT}{_NAME}){{0,4}}\Z", re.I)
+#: An address before its at sign is looked for in so many characters; a mailbox's name has 64 at most.
+_HEAD_CHARS = 160
 _HINT = re.compile(rf"\b{_AT_WORD}\b|[_-]{_AT_WORD}[_-]|@|&#64;|&commat;|%40", re.I)
+_TOP_LEVEL = re.compile(r"[^\W\d_]{2,}$")
 _PLAIN_AT = re.compile(_BARE_AT, re.I)
 _DOT_PART, _ANY_DOT = re.compile(_DOT, re.I), re.compile(rf"{_MARKED_DOT}|\s+{_DOT_WORD}\s+", re.I)
 
 
 def fold_homoglyphs(text: str) -> Rewriting:
-    if text.isascii():
+    if text.isascii() or _FOLD.keys().isdisjoint(text):  # far faster than the search, and true of nearly all texts
         return Rewriting(text, [])
     return Rewriting(text, [(m.start(), m.end(), _FOLD[m[0]]) for m in _FOLDED.finditer(text)])
 
 
 def spelled_digits(text: str) -> Rewriting:
-    """Runs of three or more digits of which at least two are spelled, in English, German, French or Spanish."""
+    """Runs of three or more digits of which two neighbours are spelled, in English, German, French or Spanish."""
     edits = []
-    if _SOME.search(text):
+    if _NEIGHBOURS.search(text):
         for m in _RUN.finditer(text):
             out, spelled = [], 0
             for p in _PIECE.finditer(m[0]):
@@ -122,19 +126,22 @@ def spelled_digits(text: str) -> Rewriting:
 
 def at_and_dot(text: str) -> Rewriting:
     """Signs of addresses: a bare word "at" counts only if a dot of the domain is disguised as well."""
-    edits = []
-    if _HINT.search(text):
-        for m in _DISGUISED.finditer(text):
-            domain, at = m["domain"], m["at"]
-            if _PLAIN_AT.fullmatch(at) and not _ANY_DOT.search(domain):
-                continue
-            if not re.search(r"[^\W\d_]{2,}$", domain):
-                continue
-            head = m.start()
-            spots = [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, head, m.start("at"))]
-            spots.append((m.start("at"), m.end("at"), "@"))
-            spots += [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, m.start("domain"), m.end())]
-            edits += [(s, e, new) for s, e, new in spots if text[s:e] != new]
+    edits: list[tuple[int, int, str]] = []
+    for hint in _HINT.finditer(text):
+        begin, done = hint.start(), edits[-1][1] if edits else 0
+        while begin > done and (text[begin - 1].isspace() or text[begin - 1] in "[({<"):
+            begin -= 1
+        m = _TAIL.match(text, begin) or _TAIL.match(text, hint.start())
+        if begin < done or not m or not _TOP_LEVEL.search(m["domain"]) or (_PLAIN_AT.fullmatch(m["at"]) and not _ANY_DOT.search(m["domain"])):
+            continue
+        low = max(done, m.start() - _HEAD_CHARS)
+        head = _HEAD.search(text[low : m.start()])
+        if not head:
+            continue
+        spots = [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, low + head.start(), m.start())]
+        spots.append((m.start("at"), m.end("at"), "@"))
+        spots += [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, m.start("domain"), m.end())]
+        edits += [(s, e, new) for s, e, new in spots if text[s:e] != new]
     return Rewriting(text, edits)
 
 
@@ -146,6 +153,9 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?!\w)")
 _PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|(?:1[ .-])?\(\d{3}\) ?\d{3}[ .-]?\d{4}|(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}|\d{10,11})(?![\w-]|\.\d)")
 
 
+_DIGITS_THERE = re.compile(r"\d{2}|\d\.\d")
+
+
 def luhn(digits: str) -> bool:
     odd = sum(int(d) for d in digits[-1::-2])
     return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
@@ -166,6 +176,8 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         for m in _EMAIL.finditer(text):
             add(m, "email", m[0].lower())
+    if not _DIGITS_THERE.search(text):
+        return sorted(found)
     for m in _IBAN.finditer(text):
         code = m[0].replace(" ", "")
         if len(code) <= 34 and _iban(code):
