@@ -38,6 +38,7 @@ _LONG = re.compile(r"[^\W\d_]{5,}")
 _WORD = re.compile(r"\w+")
 _FEW = 8
 _CACHED_WORDS = 150_000
+_NONE = 1 << 32
 
 
 def features(text: str) -> set[str]:
@@ -153,9 +154,9 @@ def _keyed(nodes: DataFrame) -> DataFrame:
             for start in range(0, b.num_rows, 2000):
                 node, hi, lo = (b.column(c).slice(start, 2000).to_numpy(zero_copy_only=False) for c in ("node", "hi", "lo"))
                 rows, keys = keys_of(hi, lo)
-                yield pa.record_batch([pa.array(keys.astype(np.int32)), pa.array(node[rows]), pa.array(hi[rows]), pa.array(lo[rows])], names=["key", "node", "hi", "lo"])
+                yield pa.record_batch([pa.array(keys), pa.array(node[rows]), pa.array(hi[rows]), pa.array(lo[rows])], names=["key", "node", "hi", "lo"])
 
-    return nodes.select("node", "hi", "lo").mapInArrow(explode, "key int, node long, hi long, lo long")
+    return nodes.select("node", "hi", "lo").mapInArrow(explode, "key long, node long, hi long, lo long")
 
 
 def _close(hi_a, lo_a, hi_b, lo_b, most: int) -> np.ndarray:
@@ -166,7 +167,8 @@ def bucket_edges(key: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarr
     """Edges that connect whatever pairs within ``most`` bits connect, in buckets of equal, sorted keys.
 
     Every row is compared with its bucket's first; each row that isn't close to it is compared with
-    all rows of the bucket. Two close rows are thus joined directly or by way of the first.
+    all rows of the bucket. Two close rows are thus joined directly or by way of the first. Where an
+    edge to the first fails a later test, :func:`rival_edges` compares what it stood for.
     """
     n = len(key)
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -194,34 +196,33 @@ def bucket_edges(key: np.ndarray, node: np.ndarray, hi: np.ndarray, lo: np.ndarr
     return pairs[0], pairs[1]
 
 
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by key, cut anew so that no bucket goes on in the next."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        change = np.flatnonzero(key != key[-1])  # the last bucket may go on in the next batch
+        end = int(change[-1]) + 1 if len(change) else 0
+        if end:
+            yield pa.Table.from_batches([*held, batch.slice(0, end)])
+            held = []
+        elif held and held[-1].column("key")[-1].as_py() != key[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(batch.slice(end))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def candidate_edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(a, b), distinct: nodes that meet under a key and are close, up to what connects them (see bucket_edges)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            whole = [np.concatenate(x) for x in zip(*held)]
-            a, b = bucket_edges(*whole, max_distance)
-            return pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            part = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "hi", "lo"))
-            if not len(part[0]):
-                continue
-            change = np.flatnonzero(part[0] != part[0][-1])  # the last bucket may go on in the next batch
-            if len(change):
-                end = change[-1] + 1
-                held.append(tuple(x[:end] for x in part))
-                yield flush()
-                held = [tuple(x[end:] for x in part)]
-            elif held and held[-1][0][-1] != part[0][0]:
-                yield flush()
-                held = [part]
-            else:
-                held.append(part)
-        if held:
-            yield flush()
+        for t in _buckets(batches):
+            a, b = bucket_edges(*(t.column(c).to_numpy() for c in ("key", "node", "hi", "lo")), max_distance)
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
     grouped = _keyed(nodes).repartition("key").sortWithinPartitions("key", "node")
     return grouped.mapInArrow(scan, "a long, b long").filter("a <> b").distinct()
@@ -239,6 +240,74 @@ def _similar(edges: DataFrame, sketches: DataFrame, min_jaccard: float) -> DataF
     return joined.filter(both >= F.lit(min_jaccard) * F.size("u")).select("a", "b")
 
 
+def similar_rows(a: np.ndarray, b: np.ndarray, min_jaccard: float) -> np.ndarray:
+    """As :func:`_similar`, of sketches in rows of numbers that are filled up with ``_NONE``."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    there = both != _NONE
+    rank = np.cumsum(there & ~again, axis=1)
+    common = (again & there & (rank <= SKETCH)).sum(axis=1)
+    return common >= min_jaccard * np.minimum(rank[:, -1], SKETCH)
+
+
+def _sketch_rows(column: pa.ListArray) -> np.ndarray:
+    rows = np.full((len(column), SKETCH), _NONE, np.int64)
+    rows[np.arange(SKETCH) < column.value_lengths().to_numpy()[:, None]] = column.flatten().to_numpy().view(np.uint32)
+    return rows
+
+
+def rival_rows(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, label: np.ndarray, most: int, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows, by place, within ``most`` bits and of unlike labels, in buckets of equal, sorted keys; in blocks."""
+    n = len(key)
+    ends = np.searchsorted(key, key, side="right")
+    width = ends - np.arange(n) - 1
+    cum = np.cumsum(width)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(cum, (cum[at - 1] if at else 0) + block)))
+        w = width[at:to]
+        a = np.repeat(np.arange(at, min(to, n)), w)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(w) - w, w)
+        good = label[a] != label[b]
+        a, b = a[good], b[good]
+        good = _close(hi[a], lo[a], hi[b], lo[b], most)
+        yield a[good], b[good]
+        at = to
+
+
+def rival_edges(nodes: DataFrame, max_distance: int, min_jaccard: float) -> DataFrame:
+    """(a, b), distinct: verified pairs that meet under a key and whose labels differ.
+
+    ``nodes`` has node, label and sketch besides what keys are made of. Sketches go only to rows
+    that are close to another in their bucket, and are compared there.
+    """
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _buckets(batches):
+            key, node, hi, lo, label = (t.column(c).to_numpy() for c in ("key", "node", "hi", "lo", "label"))
+            met = np.zeros(len(key), bool)
+            for a, b in rival_rows(key, hi, lo, label, max_distance):
+                met[a] = met[b] = True
+            yield pa.record_batch([pa.array(key[met]), pa.array(node[met])], names=["key", "node"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _buckets(batches):
+            key, node, hi, lo, label = (t.column(c).to_numpy() for c in ("key", "node", "hi", "lo", "label"))
+            sketch = _sketch_rows(t.column("sketch").combine_chunks())
+            for a, b in rival_rows(key, hi, lo, label, max_distance):
+                for i in range(0, len(a), 20_000):
+                    x, y = a[i : i + 20_000], b[i : i + 20_000]
+                    good = similar_rows(sketch[x], sketch[y], min_jaccard)
+                    x, y = node[x[good]], node[y[good]]
+                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    keyed = _keyed(nodes).join(nodes.select("node", "label"), "node").select("key", "node", "hi", "lo", "label")
+    met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(close, "key long, node long")
+    whole = met.join(nodes.select("node", "hi", "lo", "label", "sketch"), "node").select("key", "node", "hi", "lo", "label", "sketch")
+    return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(verify, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, for the nodes of ``edges`` (a, b).
 
@@ -270,7 +339,18 @@ def _groups(docs: DataFrame, max_distance: int, min_jaccard: float) -> tuple[Dat
     edges = settled(candidate_edges(nodes, max_distance), "edges")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sketches = signed.join(ends, "node").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    return signed, components(_similar(edges, sketches, min_jaccard))
+    similar = settled(_similar(edges, sketches, min_jaccard), "similar")
+    labels = components(similar)
+    # A bucket's first row stood for pairs of it only where its edges hold. Whatever an edge that failed
+    # leaves apart is compared pair by pair, with all that an end of it was joined to.
+    by_a, by_b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    named = edges.join(by_a, "a", "left").join(by_b, "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
+    apart = named.filter("la <> lb").select(F.explode(F.array("la", "lb")).alias("label")).distinct()
+    ended = nodes.join(sketches, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rivals = settled(ended.join(apart, "label", "left_semi"), "rivals")
+    if rivals.isEmpty():
+        return signed, labels
+    return signed, components(similar.union(rival_edges(rivals, max_distance, min_jaccard)))
 
 
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE, min_jaccard: float = MIN_JACCARD) -> DataFrame:

@@ -133,3 +133,37 @@ def test_awkward(spark):
 def test_components_of_a_chain(spark, n):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
     assert {r.node: r.label for r in neardup.components(edges).collect()} == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
+
+
+def test_pairs_of_a_family_meet_though_the_first_of_their_bucket_is_unlike_them(spark):
+    """Families share 120 words and have 60 of their own: Jaccard 0.5 across, 0.95 within, two copies a family."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(9))
+    common, rows = [word() for _ in range(120)], []
+    for i in range(1500):
+        own = [word() for _ in range(60)]
+        rows += [(2 * i, " ".join(common + own), "en", "s"), (2 * i + 1, " ".join(common + own[:-4] + [word() for _ in range(4)]), "en", "s")]
+    sign = neardup.Signer()
+    hashes, sums = sign.sign([t for _, t, *_ in rows])
+    group = {r.doc_id: r.group_id for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    hi, lo = neardup.fingerprint_bits(sums)
+    keys = defaultdict(set)
+    for i, k in zip(*neardup.keys_of(hi, lo)):
+        keys[i].add(k)
+    near = [i for i in range(0, 3000, 2) if keys[i] & keys[i + 1] and neardup._close(hi[i], lo[i], hi[i + 1], lo[i + 1], neardup.MAX_DISTANCE)]
+    assert len(near) > 1450
+    assert all(group[i] == group[i + 1] for i in near)
+
+
+def test_similar_rows_are_as_sets_tell():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 400, n)) for n in rng.integers(1, 300, 200)]
+    rows = np.full((200, neardup.SKETCH), neardup._NONE)
+    for r, x in zip(rows, sets):
+        r[: min(len(x), neardup.SKETCH)] = x[: neardup.SKETCH]
+    a, b = np.triu_indices(200, 1)
+    got = neardup.similar_rows(rows[a], rows[b], 0.3)
+    for i, j, g in zip(a, b, got):
+        x, y = set(rows[i].tolist()) - {neardup._NONE}, set(rows[j].tolist()) - {neardup._NONE}
+        least = set(sorted(x | y)[: neardup.SKETCH])
+        assert g == (len(least & x & y) >= 0.3 * len(least))
