@@ -167,3 +167,23 @@ def test_similar_rows_are_as_sets_tell():
         x, y = set(rows[i].tolist()) - {neardup._NONE}, set(rows[j].tolist()) - {neardup._NONE}
         least = set(sorted(x | y)[: neardup.SKETCH])
         assert g == (len(least & x & y) >= 0.3 * len(least))
+
+
+@pytest.mark.parametrize("words", [40, 200])
+@pytest.mark.parametrize("jaccard", [0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95])
+def test_recall_at_every_jaccard_similarity(jaccard, words):
+    rng = random.Random(int(jaccard * 100) + words)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(9))
+    texts, n = [], 500
+    for _ in range(n):
+        shared = -int(-2 * words * jaccard // (1 + jaccard))
+        both = [word() for _ in range(shared)]
+        texts += [" ".join(both + [word() for _ in range(words - shared)]) for _ in range(2)]
+    hashes, sums = neardup.Signer().sign(texts)
+    hi, lo = neardup.fingerprint_bits(sums)
+    keys = [set(b) for b in neardup.band_keys(hashes).tolist()]
+    for i, k in zip(*(x.tolist() for x in neardup.keys_of(hi, lo))):
+        keys[i].add(k)
+    close = neardup._close(hi[::2], lo[::2], hi[1::2], lo[1::2], neardup.MAX_DISTANCE)
+    met = np.array([bool(keys[i] & keys[i + 1]) for i in range(0, 2 * n, 2)])
+    assert (met & close).mean() >= 0.9
