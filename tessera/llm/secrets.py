@@ -21,6 +21,9 @@ from tessera.llm.common import documents_only, sliced
 
 #: Size of the dictionary: a model of fixed size, made from counts over all documents.
 DICTIONARY_BYTES = 64 * 1024
+#: Longer candidates are measured in pieces of at most so many characters: from 64 bytes on zstandard codes
+#: literals by Huffman, and what a random string adds by its length depends on its alphabet.
+PIECE = 63
 #: Characters on each side of a candidate that it is compressed with.
 AROUND = 256
 MIN_LENGTH, MIN_NOVELTY = 12, 0.9
@@ -114,6 +117,8 @@ class Novelty:
 
     The string alone is compressed. The difference between compressing the surroundings with and
     without it would be too rough: a few more literals can change how zstandard codes all of them.
+    A string of more than ``PIECE`` characters is compressed in about equal pieces, each with up to
+    ``DICTIONARY_BYTES`` before it among what is known, so that what repeats within the string adds little.
     """
 
     def __init__(self, primer: bytes):
@@ -121,10 +126,16 @@ class Novelty:
 
     def added(self, before: str, candidate: str, after: str) -> int:
         """Bytes that the candidate takes beyond what an empty frame does."""
-        around = (after + before).encode("utf-8", "surrogatepass")  # what stands before is nearest
-        known = zstandard.ZstdCompressionDict(self._primer + around + b" " * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        size = zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False).compress
-        return max(0, len(size(candidate.encode())) - len(size(b"")))
+        pieces = -(-len(candidate) // PIECE)
+        cuts = [i * len(candidate) // pieces for i in range(pieces + 1)]
+        # What stands before is nearest.
+        return sum(self._piece(after + before, candidate[max(0, i - DICTIONARY_BYTES) : i], candidate[i:j]) for i, j in zip(cuts, cuts[1:]))
+
+    def _piece(self, around: str, earlier: str, piece: str) -> int:
+        known = self._primer + around.encode("utf-8", "surrogatepass") + b" " * 8 + earlier.encode()
+        primed = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        size = zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False).compress
+        return max(0, len(size(piece.encode())) - len(size(b"")))
 
 
 _FOUND = "doc_id long, start int, end int, context string, found string, added_bytes int, novelty double"

@@ -43,3 +43,20 @@ def test_awkward(spark):
     docs = documents(spark, [*AWKWARD, (50, "x " * 100_000 + "password=" + hexes(24, random.Random(5)), None, None)])
     assert [(r.doc_id, r.start) for r in secrets.secret_scan(docs).collect()] == [(50, 200_009)]
     assert secrets.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_long_random_strings_of_small_alphabets_are_new(spark):
+    rng = random.Random(8)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    primer = secrets.dictionary(documents(spark, [(1, CODE, "en", "s")]))
+    measure = secrets.Novelty(primer).added
+    for alphabet in alphabets:
+        for n in [63, 64, 65, 96, 128, 256, 400, 1000]:
+            strings = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(40)]
+            found = sum(measure(CODE, x, CODE) >= secrets.MIN_NOVELTY * n for x in strings)
+            assert found >= 38, (alphabet, n, found)
+    for repeated in ["authentication_token." * 20, "a" * 300, hexes(20, rng) * 20]:
+        assert measure(CODE, repeated, CODE) < secrets.MIN_NOVELTY * len(repeated)
+    jwt = "eyJ" + "".join(rng.choice(alphabets[2][:62]) for _ in range(600))
+    rows = [(1, f'token = "{hexes(64, rng)}"', "en", "s"), (2, f"bearer {jwt}", "en", "s")]
+    assert sorted(r.doc_id for r in secrets.secret_scan(documents(spark, rows)).collect()) == [1, 2]
