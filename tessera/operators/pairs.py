@@ -68,8 +68,27 @@ def lsh_candidates(signatures: DataFrame, bands: int = 75) -> DataFrame:
     return left.join(right, ["band", "bucket"]).filter("id1 < id2").select("id1", "id2").distinct()
 
 
-def lsh_jaccard_pairs(df: DataFrame, id: str, item: str, threshold: float = 0.05, n_hashes: int = 225, bands: int = 75) -> DataFrame:
-    """Candidates of banded MinHash, verified by their exact Jaccard similarity."""
+def rows_and_bands(threshold: float, bands: int = 75, recall: float = 0.9) -> tuple[int, int]:
+    """Rows a band and number of bands at which a pair of Jaccard ``threshold`` is found with probability ``recall``."""
+    if threshold <= 0:
+        raise ValueError("pairs without common items share no bucket: the threshold must be above 0")
+    rows = 1
+    while rows < 20 and 1 - (1 - min(threshold, 1.0) ** (rows + 1)) ** bands >= recall:
+        rows += 1
+    while 1 - (1 - min(threshold, 1.0) ** rows) ** bands < recall:
+        bands += 1
+    return rows, bands
+
+
+def lsh_jaccard_pairs(df: DataFrame, id: str, item: str, threshold: float = 0.05, n_hashes: int | None = None, bands: int = 75) -> DataFrame:
+    """Candidates of banded MinHash, verified by their exact Jaccard similarity.
+
+    Unless ``n_hashes`` is given, bands have as many rows as leave a pair at the threshold a probability
+    of 0.9 to be found. Where even one row a band doesn't, there are more bands than ``bands``.
+    """
+    if n_hashes is None:
+        rows, bands = rows_and_bands(threshold, bands)
+        n_hashes = rows * bands
     e = edges_of(df, id, item)
     found = lsh_candidates(minhash_signatures(e, "id", "item", n_hashes), bands)
     sets = e.groupBy("id").agg(F.collect_set("item").alias("items"))

@@ -61,3 +61,19 @@ def test_pearson_of_a_constant_side(spark):
     df = spark.createDataFrame([("a", i, 3.0) for i in range(3)] + [("b", i, float(i)) for i in range(3)] + [("c", i, 2.0 * i) for i in range(3)], "u string, i int, r double")
     got = {(r.id1, r.id2): round(r.sim, 9) for r in pairs.pearson_pairs(df, "u", "i", "r", 3, None).collect()}
     assert got == {("a", "b"): -1.0, ("a", "c"): -1.0, ("b", "c"): 1.0}
+
+
+def test_rows_and_bands_reach_the_recall_at_the_threshold():
+    for threshold in [0.01, 0.05, 0.1, 0.3, 0.5, 0.8, 1.0]:
+        rows, bands = pairs.rows_and_bands(threshold)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.9
+
+
+def test_lsh_recall_at_the_registered_threshold(spark):
+    from tessera.plans import catalogue
+
+    ratings = catalogue._ratings(spark, "/root/testdata/sf0.001", "l_partkey")
+    want = {(r.id1, r.id2) for r in pairs.jaccard_pairs(ratings, "user", "item", catalogue.JACCARD, None).collect()}
+    found = {(r.id1, r.id2) for r in catalogue.lsh_jaccard_pairs(spark, "/root/testdata/sf0.001").collect()}
+    assert len(want) > 1000 and found <= want
+    assert len(found) >= 0.9 * len(want)
