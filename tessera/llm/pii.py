@@ -83,7 +83,9 @@ _UNIT = rf"(?:(?:double|triple)\s+)?(?:{_SPELLED})"
 _BETWEEN = r"(?:\s?[,;/-]\s?|\s+)"
 _RUN = re.compile(rf"\b(?:plus\s+)?(?:{_UNIT}|\d{{1,4}}){_BETWEEN}(?:(?:dash|hyphen|dot|point)\s+)?(?:{_UNIT}|\d{{1,4}})(?:{_BETWEEN}(?:(?:dash|hyphen|dot|point)\s+)?(?:{_UNIT}|\d{{1,4}}))+\b", re.I)
 _PIECE = re.compile(rf"(?:(double|triple)\s+)?\b({_SPELLED})\b|(\d+)|\b(plus)\b|\b(dash|hyphen)\b|\b(dot|point)\b", re.I)
-_NEIGHBOURS = re.compile(rf"\b(?:{_SPELLED}){_BETWEEN}(?:(?:dash|hyphen|dot|point|double|triple)\s+)*(?:{_SPELLED})\b", re.I)
+#: A spelled digit beside a spelled one or figures, on either side: every run with two spelled digits has such.
+_SIGN = r"(?:(?:dash|hyphen|dot|point|double|triple)\s+)*"
+_NEIGHBOURS = re.compile(rf"\b(?:{_SPELLED}){_BETWEEN}{_SIGN}(?:(?:{_SPELLED})\b|\d)|\d{_BETWEEN}{_SIGN}(?:{_SPELLED})\b", re.I)
 
 _AT_WORD, _DOT_WORD = r"(?:at|ät|arobase|arroba)", r"(?:dot|punkt|point|punto)"
 _OPEN, _SHUT = r"[\[({<]", r"[\])}>]"
@@ -110,7 +112,7 @@ def fold_homoglyphs(text: str) -> Rewriting:
 
 
 def spelled_digits(text: str) -> Rewriting:
-    """Runs of three or more digits of which two neighbours are spelled, in English, German, French or Spanish."""
+    """Runs of three or more digits of which two are spelled, neighbours or not, in English, German, French or Spanish."""
     edits = []
     if _NEIGHBOURS.search(text):
         for m in _RUN.finditer(text):

@@ -72,3 +72,26 @@ def test_table(spark):
 
 def test_redact():
     assert pii.redact("a (at) b.org, 10.1.2.3.") == "<email>, <ip>."
+
+
+@pytest.mark.parametrize(
+    "text, normal",
+    [
+        ("call 5 five 5 one 2 three 4 five 6 seven", "5551" + "234567"),
+        ("seven 4 three 555 three 8 two 4", "7435553824"),
+        ("ring 5 double six 2 - three 4 dash five 6 seven", "56623456" + "7"),
+    ],
+)
+def test_words_and_figures_in_turn_are_a_run(text, normal):
+    assert [(k, n.replace("-", "")) for *_, k, n in pii.find_pii(text)] == [("phone", normal)]
+
+
+def test_the_cheap_test_rejects_no_run_of_two_spelled_digits():
+    rng = random.Random(6)
+    pieces = [*pii._VALUE, "double two", "triple zwei", "7", "42", "555", "1234"]
+    for _ in range(3000):
+        text = "x " + rng.choice(["", "plus "])
+        for i in range(rng.randint(3, 9)):
+            text += (rng.choice([" ", ", ", "-", "  ", "/"]) + rng.choice(["", "", "dash ", "point "]) if i else "") + rng.choice(pieces)
+        spelled = any(sum(p[2] is not None for p in pii._PIECE.finditer(m[0])) >= 2 for m in pii._RUN.finditer(text))
+        assert bool(pii._NEIGHBOURS.search(text)) or not spelled, text
