@@ -167,27 +167,74 @@ def _iban(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
+#: Characters of an IBAN by country.
+_IBAN_LENGTH = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+
+
+def _ends(text: str, start: int, end: int, separators: str) -> Iterator[int]:
+    """``end``, then the ends of the groups before it, longest first."""
+    yield end
+    for at in range(end - 1, start, -1):
+        if text[at] in separators:
+            yield at
+
+
+def _iban_at(text: str, start: int, end: int) -> tuple[int, str] | None:
+    """End and code of the IBAN that a run begins with: the whole run, or what ends at a group and is as long as its country's."""
+    for e in _ends(text, start, end, " "):
+        code = text[start:e].replace(" ", "")
+        if len(code) < 15:
+            break
+        if len(code) <= 34 and (e == end or _IBAN_LENGTH.get(code[:2], len(code)) == len(code)) and _iban(code):
+            return e, code
+    return None
+
+
+def _card_at(text: str, start: int, end: int) -> tuple[int, str] | None:
+    for e in _ends(text, start, end, " -"):
+        digits = re.sub(r"\D", "", text[start:e])
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            return e, digits
+    return None
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the identifiers in plain text; where kinds overlap the first named stays."""
     found: list[tuple[int, int, str, str]] = []
 
+    def put(start: int, end: int, kind: str, form: str) -> None:
+        if all(end <= s or e <= start for s, e, _, _ in found):
+            found.append((start, end, kind, form))
+
     def add(m: re.Match, kind: str, form: str) -> None:
-        if all(m.end() <= s or e <= m.start() for s, e, _, _ in found):
-            found.append((m.start(), m.end(), kind, form))
+        put(m.start(), m.end(), kind, form)
 
     if "@" in text:
         for m in _EMAIL.finditer(text):
             add(m, "email", m[0].lower())
     if not _DIGITS_THERE.search(text):
         return sorted(found)
-    for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if len(code) <= 34 and _iban(code):
-            add(m, "iban", code)
-    for m in _CARD.finditer(text):
-        digits = re.sub(r"\D", "", m[0])
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            add(m, "card", digits)
+    # A run may take in what follows an identifier, or begin before one: the search goes on where one ends or may begin.
+    m = _IBAN.search(text)
+    while m:
+        one = _iban_at(text, *m.span())
+        if one:
+            put(m.start(), one[0], "iban", one[1])
+        m = _IBAN.search(text, one[0] if one else m.start() + 1)
+    m = _CARD.search(text)
+    while m:
+        one = _card_at(text, *m.span())
+        if one:
+            put(m.start(), one[0], "card", one[1])
+        m = _CARD.search(text, one[0] if one else m.end())
     for m in _IP.finditer(text):
         add(m, "ip", m[0])
     for m in _SSN.finditer(text):

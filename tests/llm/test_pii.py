@@ -95,3 +95,25 @@ def test_the_cheap_test_rejects_no_run_of_two_spelled_digits():
             text += (rng.choice([" ", ", ", "-", "  ", "/"]) + rng.choice(["", "", "dash ", "point "]) if i else "") + rng.choice(pieces)
         spelled = any(sum(p[2] is not None for p in pii._PIECE.finditer(m[0])) >= 2 for m in pii._RUN.finditer(text))
         assert bool(pii._NEIGHBOURS.search(text)) or not spelled, text
+
+
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("pay DE89 3704 0044 0532 0130 00 BIC COBADEFF now", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("pay DE89370400440532013000 A", "iban", "DE89370400440532013000"),
+        ("pay DE89370400440532013000 12 EUR", "iban", "DE89370400440532013000"),
+        ("to IBAN AB12 DE89 3704 0044 0532 0130 00", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("card 4785 3805 9239 1139 12/25", "card", "4785 3805 9239 1139"),
+        ("card 4785 3805 9239 1139 123", "card", "4785 3805 9239 1139"),
+        ("card 4785-3805-9239-1139-12 x", "card", "4785-3805-9239-1139"),
+    ],
+)
+def test_identifiers_end_before_what_follows(text, kind, found):
+    start = text.index(found)
+    assert (start, start + len(found), kind) in [f[:3] for f in pii.find_pii(text)]
+
+
+def test_two_ibans_in_a_row_are_both_found():
+    got = pii.find_pii("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 x")
+    assert [(k, n) for *_, k, n in got] == [("iban", "DE89370400440532013000"), ("iban", "GB29NWBK60161331926819")]
