@@ -19,17 +19,18 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import DOCUMENT_COLUMNS, documents_only
 
-DIM = 512
+DIM = 1024
 SEED = 20_011
 #: Labelled rows per language that the prototypes are made from, at most.
 SAMPLE_PER_LANGUAGE = 2_000
-#: A document whose best cosine is below this resembles none of the languages.
-MIN_SIMILARITY = 0.2
-#: A text of fewer trigrams says too little to be rejected by its cosine.
-JUDGED_FROM = 100
+#: A document resembles none of the languages if its best cosine is below this, less for short texts: the
+#: cosine that a text of a language reaches grows with its trigrams n as the square root of n / (n + HALFWAY).
+MIN_SIMILARITY, HALFWAY = 0.2, 100
 _CHUNK_CHARS = 400_000
 _CHUNK_DOCS = 96
-_MAX_CACHED = 60_000
+_MAX_CACHED = 40_000
+#: Trigrams whose vectors are added at a time.
+_BLOCK = 8_192
 
 
 class Profiler:
@@ -121,8 +122,16 @@ class Profiler:
         else:
             ids, which = np.unique(every, return_inverse=True)
         doc = np.repeat(np.arange(len(texts)), sizes)
-        counts = np.bincount(doc * len(ids) + which, minlength=len(texts) * len(ids)).reshape(len(texts), len(ids))
-        return counts.astype(np.float32) @ self.trigram_rows(ids)
+        out = np.zeros((len(texts), self.dim), np.float32)
+        if len(ids) > _BLOCK:  # trigrams in order, so that each block is a slice
+            order = np.argsort(which, kind="stable")
+            doc, which = doc[order], which[order]
+        for lo in range(0, len(ids), _BLOCK):
+            n = min(_BLOCK, len(ids) - lo)
+            here = slice(*np.searchsorted(which, [lo, lo + n])) if len(ids) > _BLOCK else slice(None)
+            counts = np.bincount(doc[here] * n + (which[here] - lo), minlength=len(texts) * n).reshape(len(texts), n)
+            out += counts.astype(np.float32) @ self.trigram_rows(ids[lo : lo + n])
+        return out
 
 
 def _labelled_sample(docs: DataFrame, per_language: int) -> DataFrame:
@@ -222,19 +231,20 @@ def scored(docs: DataFrame, models: dict[str, np.ndarray], dim: int = DIM, seed:
     return docs.withColumn("__lid", identify(F.col("text")))
 
 
-def _accepted(min_similarity: float, judged_from: int, have_models: bool) -> Column:
-    """Rejected: no letters, or enough trigrams to judge by and no language that resembles them."""
+def _accepted(min_similarity: float, halfway: float, have_models: bool) -> Column:
+    """Rejected: no letters, or no language that resembles the text as much as its number of trigrams allows."""
     if not have_models:
         return F.lit(True)
     found = F.col("__lid")
-    return found["predicted"].isNotNull() & ((found["similarity"] >= min_similarity) | (found["trigrams"] < judged_from))
+    n = found["trigrams"]
+    return found["predicted"].isNotNull() & (found["similarity"] >= min_similarity * F.sqrt(n / (n + F.lit(float(halfway)))))
 
 
 def language_id(
     docs: DataFrame,
     per_language: int = SAMPLE_PER_LANGUAGE,
     min_similarity: float = MIN_SIMILARITY,
-    judged_from: int = JUDGED_FROM,
+    halfway: float = HALFWAY,
     dim: int = DIM,
     seed: int = SEED,
 ) -> DataFrame:
@@ -242,8 +252,9 @@ def language_id(
 
     Needs doc_id, text and lang; other columns are ignored whatever their names. ``predicted``,
     ``similarity`` and ``margin`` are null for a text that is null, empty or without letters, and
-    such a row isn't accepted. Any other text is accepted if its cosine with some language is at
-    least ``min_similarity`` or it has fewer than ``judged_from`` trigrams. Equal cosines go to the language first in the alphabet. Without any
+    such a row isn't accepted. Any other text of n trigrams is accepted if its cosine with some language
+    is at least ``min_similarity`` times the square root of n / (n + ``halfway``): one rule for texts of
+    every length. Equal cosines go to the language first in the alphabet. Without any
     labelled row nothing can be told apart: all three are null and every row is accepted. Repeated
     rows are scored alike. Whole texts are profiled, however long. An empty table gives no rows.
     """
@@ -256,7 +267,7 @@ def language_id(
         F.col("__lid.predicted").alias("predicted"),
         F.col("__lid.similarity").alias("similarity"),
         F.col("__lid.margin").alias("margin"),
-        _accepted(min_similarity, judged_from, bool(models)).alias("accepted"),
+        _accepted(min_similarity, halfway, bool(models)).alias("accepted"),
     )
 
 
@@ -264,12 +275,17 @@ def keep_known_languages(
     docs: DataFrame,
     per_language: int = SAMPLE_PER_LANGUAGE,
     min_similarity: float = MIN_SIMILARITY,
-    judged_from: int = JUDGED_FROM,
+    halfway: float = HALFWAY,
     dim: int = DIM,
     seed: int = SEED,
 ) -> DataFrame:
-    """The rows of ``docs`` that :func:`language_id` accepts, with the five columns of documents."""
+    """The rows of ``docs`` that :func:`language_id` accepts, with the five columns of documents.
+
+    Rows whose text is null, empty or without letters leave. Without any labelled row all stay.
+    Repeated rows stay or leave together; columns beyond the five are left out. Texts of any length
+    are read whole, and equal cosines decide nothing here. An empty table gives no rows.
+    """
     docs = documents_only(docs)
     models = prototypes(docs, per_language, dim, seed)
-    out = scored(docs, models, dim, seed).filter(_accepted(min_similarity, judged_from, bool(models)))
+    out = scored(docs, models, dim, seed).filter(_accepted(min_similarity, halfway, bool(models)))
     return out.select(*DOCUMENT_COLUMNS)

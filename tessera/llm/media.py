@@ -9,11 +9,14 @@ between, and is stored with the anchor's time.
 from __future__ import annotations
 
 import io
+import struct
 import wave
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +28,16 @@ FLOOR = 1e-4
 #: The target zone: frames ahead of the anchor, and bins above or below it.
 ZONE_FRAMES, ZONE_BINS = 24, 64
 RATE, SEGMENT, TONES = 8_000, 512, 8
+#: Clips that are Python objects at a time, and frames that are transformed at a time.
+_SLICE, _BLOCK = 64, 4_096
 
 
 def read_wav(data: bytes) -> tuple[int, np.ndarray]:
     """Sample rate and mono samples in -1..1 of PCM WAV bytes of 8, 16, 24 or 32 bits; channels are averaged."""
     with wave.open(io.BytesIO(data)) as w:
         rate, channels, width, raw = w.getframerate(), w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())
+    if width > 4:
+        raise wave.Error(f"samples of {8 * width} bits")
     raw = raw[: len(raw) // (width * channels) * width * channels]
     if width == 1:
         x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
@@ -46,17 +53,27 @@ def stft_power(x: np.ndarray, window: int = WINDOW, hop: int = HOP) -> np.ndarra
     """Power by frame and frequency bin; a clip shorter than a window is padded with silence to one frame."""
     if len(x) < window:
         x = np.pad(x, (0, window - len(x)))
-    frames = np.lib.stride_tricks.sliding_window_view(x, window)[::hop]
-    return np.abs(np.fft.rfft(frames * np.hanning(window).astype(np.float32), axis=1)) ** 2
+    frames = np.lib.stride_tricks.sliding_window_view(x.astype(np.float32), window)[::hop]
+    power = np.empty((len(frames), window // 2 + 1), np.float32)
+    for at in range(0, len(frames), _BLOCK):  # spectra take several times what their powers do
+        z = np.fft.rfft(frames[at : at + _BLOCK] * _hann(window), axis=1)
+        power[at : at + _BLOCK] = z.real**2 + z.imag**2
+    return power
+
+
+@lru_cache
+def _hann(window: int) -> np.ndarray:
+    return np.hanning(window).astype(np.float32)
 
 
 def _largest_near(p: np.ndarray, reach: int, axis: int) -> np.ndarray:
     """Maximum over 2 * reach + 1 cells along an axis, by doubling."""
-    pad = [(0, 0), (0, 0)]
-    pad[axis] = (reach, reach)
-    q = np.pad(p, pad, constant_values=-1.0)
+    shape = list(p.shape)
+    shape[axis] += 2 * reach
+    q = np.full(shape, -1.0, p.dtype)
+    cut = lambda a, lo, n: a[lo : lo + n] if axis == 0 else a[:, lo : lo + n]
+    cut(q, reach, p.shape[axis])[:] = p
     width, want = 1, 2 * reach + 1
-    cut = lambda a, lo, n: np.take(a, range(lo, lo + n), axis=axis)
     while width < want:
         step = min(width, want - width)
         n = q.shape[axis] - step
@@ -76,31 +93,46 @@ def peaks(power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_hashes(frames: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchor frames and hashes of all pairs: anchor's bin << 20 | other's bin << 8 | frames between."""
-    at, out = [], []
-    ends = np.searchsorted(frames, frames + ZONE_FRAMES, side="right")
-    for i, (f, b) in enumerate(zip(frames, bins)):
-        j = np.arange(i + 1, ends[i])
-        j = j[(frames[j] > f) & (np.abs(bins[j] - b) <= ZONE_BINS)]
-        out.append((int(b) << 20) | (bins[j].astype(np.int64) << 8) | (frames[j] - f))
-        at.append(np.full(len(j), f))
-    return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, int), np.zeros(0, np.int64))
-
-
-def fingerprint(data: bytes | None) -> dict:
-    empty = {"status": "ok", "sample_rate": None, "n_samples": None, "n_peaks": None, "times_ms": None, "hashes": None}
+    frames, bins = frames.astype(np.int64), bins.astype(np.int64)
+    first = np.searchsorted(frames, frames, side="right")
+    width = np.searchsorted(frames, frames + ZONE_FRAMES, side="right") - first
+    i = np.repeat(np.arange(len(frames)), width)
+    j = np.repeat(first, width) + np.arange(len(i)) - np.repeat(np.cumsum(width) - width, width)
+    near = np.abs(bins[j] - bins[i]) <= ZONE_BINS
+    i, j = i[near], j[near]
+    return frames[i], (bins[i] << 20) | (bins[j] << 8) | (frames[j] - frames[i])
+
+
+_NO_FRAMES, _NO_PRINTS = np.zeros(0, np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def fingerprint(data: bytes | None) -> tuple[str, int | None, int | None, int | None, np.ndarray, np.ndarray]:
+    """Status, sample rate, samples, peaks, and the times in milliseconds and hashes of the pairs."""
     if data is None:
-        return empty | {"status": "null"}
+        return "null", None, None, None, *_NO_PRINTS
     try:
         rate, x = read_wav(bytes(data))
-    except (wave.Error, EOFError, ValueError):
-        return empty | {"status": "unreadable"}
-    frames, bins = peaks(stft_power(x)) if len(x) else (np.zeros(0, int), np.zeros(0, int))
+    except (wave.Error, EOFError, ValueError, RuntimeError, OverflowError, struct.error):
+        return "unreadable", None, None, None, *_NO_PRINTS
+    frames, bins = peaks(stft_power(x)) if len(x) else (_NO_FRAMES, _NO_FRAMES)
     at, hashes = pair_hashes(frames, bins)
-    times = at.astype(np.int64) * HOP * 1000 // max(rate, 1)
-    return {"status": "ok", "sample_rate": rate, "n_samples": len(x), "n_peaks": len(frames), "times_ms": times.tolist(), "hashes": hashes.tolist()}
+    return "ok", rate, len(x), len(frames), at * HOP * 1000 // max(rate, 1), hashes
+
+
+_FIELDS = [("status", pa.string()), ("sample_rate", pa.int64()), ("n_samples", pa.int64()), ("n_peaks", pa.int32())]
+_PRINT = pa.struct([("t_ms", pa.int64()), ("hash", pa.int64())])
+_PRINTS = "status string, sample_rate long, n_samples long, n_peaks int, prints array<struct<t_ms: long, hash: long>>"
 
 
-_PRINTS = "status string, sample_rate int, n_samples long, n_peaks int, times_ms array<int>, hashes array<long>"
+def _batch(found: list[tuple]) -> pa.StructArray:
+    """Rows of :func:`fingerprint` as one Arrow array; the prints never become Python objects."""
+    plain = [pa.array([r[i] for r in found], kind) for i, (_, kind) in enumerate(_FIELDS)]
+    ends = np.concatenate([[0], np.cumsum([len(r[4]) for r in found])]).astype(np.int32)
+    times, hashes = (np.concatenate([r[k] for r in found]) if found else np.zeros(0, np.int64) for k in (4, 5))
+    pairs = pa.StructArray.from_arrays([pa.array(times, pa.int64()), pa.array(hashes, pa.int64())], fields=list(_PRINT))
+    none = pa.array([r[0] != "ok" for r in found], pa.bool_())
+    prints = pa.ListArray.from_arrays(pa.array(ends), pairs, mask=none)
+    return pa.StructArray.from_arrays([*plain, prints], names=[*(n for n, _ in _FIELDS), "prints"])
 
 
 def fingerprints(clips: DataFrame, id_column: str = "vec_id", wav_column: str = "wav") -> DataFrame:
@@ -108,21 +140,20 @@ def fingerprints(clips: DataFrame, id_column: str = "vec_id", wav_column: str =
 
     ``prints`` is an array of structs (t_ms, hash), ordered by time. Only the two named columns are
     read; others are ignored whatever their names. Null bytes have status "null" and bytes that the
-    wave module can't read (also empty ones) "unreadable", both with nulls elsewhere. A clip without
+    wave module can't read (also empty ones, and samples of over 32 bits) "unreadable", both with nulls elsewhere. A clip without
     samples, or of silence, is "ok" with no prints. Cells that tie for the largest of their
     neighbourhood are all peaks. Repeated rows are repeated. Clips of any length are read whole, and
     no pair of the target zone is left out. An empty table gives no rows.
     """
 
-    @F.pandas_udf(_PRINTS)
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(_PRINTS)
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            rows = pd.DataFrame([fingerprint(x) for x in b], columns=["status", "sample_rate", "n_samples", "n_peaks", "times_ms", "hashes"])
-            yield rows.astype({"sample_rate": "Int32", "n_samples": "Int64", "n_peaks": "Int32"})
+            parts = [_batch([fingerprint(x.as_py()) for x in b.slice(at, _SLICE)]) for at in range(0, len(b), _SLICE)]
+            yield pa.concat_arrays(parts) if parts else _batch([])
 
-    found = clips.select(F.col(id_column).alias(id_column), of(F.col(wav_column)).alias("p"))
-    together = F.zip_with("p.times_ms", "p.hashes", lambda t, h: F.struct(t.alias("t_ms"), h.alias("hash")))
-    return found.select(id_column, "p.status", "p.sample_rate", "p.n_samples", "p.n_peaks", together.alias("prints"))
+    found = clips.select(F.col(id_column).alias(id_column), of(F.col(wav_column).cast("binary")).alias("p"))
+    return found.select(id_column, "p.status", "p.sample_rate", "p.n_samples", "p.n_peaks", "p.prints")
 
 
 def write_wav(x: np.ndarray, rate: int = RATE) -> bytes:
@@ -150,8 +181,8 @@ def render_wav(vectors: DataFrame, id_column: str = "vec_id", vector_column: str
             if x is None or not len(x):
                 return None
             x = np.nan_to_num(np.asarray(x, dtype=np.float64))
-            x = np.pad(x, (0, -len(x) % TONES)).reshape(-1, TONES)
-            y = np.concatenate([x[s] @ bank[s % 8] for s in range(len(x))])
+            x = np.pad(x, (0, -len(x) % TONES)).reshape(-1, 1, TONES)
+            y = (x @ bank[np.arange(len(x)) % 8]).ravel()
             return write_wav(y / max(1e-9, np.abs(y).max()) * 0.9)
 
         return v.map(one)

@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -7,6 +10,7 @@ from fixtures import AWKWARD, documents
 
 from tessera.llm import langid
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = "/root/testdata/sf0.01/documents.parquet"
 
 
@@ -62,3 +66,52 @@ def test_awkward(spark):
     assert langid.language_id(docs.limit(0)).count() == 0
     unlabelled = documents(spark, [(1, "some text", None, None)])
     assert [tuple(r) for r in langid.language_id(unlabelled).collect()] == [(1, None, None, None, None, True)]
+
+
+def test_long_text_of_many_letters_takes_little_memory():
+    code = """
+import random, resource, sys
+from tessera.llm import langid
+random.seed(1)
+text = "".join(chr(random.randrange(0x4E00, 0x9FFF)) for _ in range(1_000_000))
+p = langid.Profiler()
+p.vectors(["a few words"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+v = p.vectors([text])
+assert v.any() and p.sizes == [1_000_000]
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True)
+    assert int(got.stdout) < 1000
+
+
+def test_blocks_of_trigrams_add_up(monkeypatch):
+    text = "".join(map(chr, range(0x4E00, 0x4E00 + 500))) + " and some more words"
+    whole = langid.Profiler(32, 1).vectors([text, "and some"])
+    monkeypatch.setattr(langid, "_BLOCK", 7)
+    assert (langid.Profiler(32, 1).vectors([text, "and some"]) == whole).all()
+
+
+def test_short_foreign_texts_are_judged_too(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text, lang, source FROM '{SF}'").fetchall()
+    foreign = "Все люди рождаются свободными и равными в своем достоинстве и правах".split()
+    short = [(-i - 1, " ".join(foreign[i : i + 5]), "en", "z") for i in range(len(foreign) - 4)]
+    kept = {r.doc_id for r in langid.language_id(documents(spark, [*rows, *short])).filter("accepted").collect()}
+    assert sum(i < 0 for i in kept) <= len(short) // 4
+    tiny = [i for i, t, _, _ in rows if t and len(t) < 120]
+    assert sum(i in kept for i in tiny) >= 0.9 * len(tiny)
+
+
+def test_the_scores_and_ties_follow_the_definition(spark):
+    """Prototypes and cosines by brute force; of equal cosines the language first in the alphabet counts."""
+    texts = [("aa", "eins zwei drei"), ("aa", "zwei drei vier"), ("bb", "uno dos tres"), ("cc", "uno dos tres")]
+    docs = documents(spark, [(i, t, l, "s") for i, (l, t) in enumerate(texts)])
+    vectors = {t: naive_vector(t, langid.DIM, langid.SEED).astype(float) for _, t in texts}
+    unit = lambda v: v / np.linalg.norm(v)
+    proto = {l: unit(sum(unit(vectors[t]) for k, t in texts if k == l)) for l in ("aa", "bb", "cc")}
+    for r in langid.language_id(docs).collect():
+        text = texts[r.doc_id][1]
+        cos = {l: float(unit(vectors[text]) @ p) for l, p in proto.items()}
+        best = sorted(cos.values(), reverse=True)
+        assert r.predicted == min(l for l in cos if cos[l] > best[0] - 1e-6)
+        assert abs(r.similarity - best[0]) < 1e-5 and abs(r.margin - (best[0] - best[1])) < 1e-5
