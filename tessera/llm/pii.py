@@ -95,10 +95,9 @@ _BARE_AT = rf"(?:\s+{_AT_WORD}\s+|[_-]{_AT_WORD}[_-])"
 _AT = rf"(?:{_MARKED_AT}|{_BARE_AT}|\s+@\s+|\s+@|@\s+|@)"
 _DOT = rf"(?:{_MARKED_DOT}|\s+{_DOT_WORD}\s+|\s+\.\s+|\.)"
 _NAME, _LABEL = r"[^\W_](?:[\w%+-]*\w)?", r"[^\W_](?:[\w-]*[^\W_])?"
-_TAIL = re.compile(rf"(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL}){{1,6}})", re.I)
-_HEAD = re.compile(rf"\b{_NAME}(?:{_DOT}{_NAME}){{0,4}}\Z", re.I)
-#: An address before its at sign is looked for in so many characters; a mailbox's name has 64 at most.
-_HEAD_CHARS = 160
+_TAIL = re.compile(rf"(?P<at>{_AT})(?P<domain>{_LABEL}(?:{_DOT}{_LABEL})+)", re.I)
+_LAST_DOT_WORD = re.compile(rf"(?:^|(?<=\W)){_DOT_WORD}\Z|\.\Z", re.I)
+_ENTITY = re.compile(r"&#46;\Z|&period;\Z", re.I)
 _HINT = re.compile(rf"\b{_AT_WORD}\b|[_-]{_AT_WORD}[_-]|@|&#64;|&commat;|%40", re.I)
 _TOP_LEVEL = re.compile(r"[^\W\d_]{2,}$")
 _PLAIN_AT = re.compile(_BARE_AT, re.I)
@@ -126,6 +125,52 @@ def spelled_digits(text: str) -> Rewriting:
     return Rewriting(text, edits)
 
 
+def _before_spaces(text: str, at: int, low: int) -> int:
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _before_dot(text: str, at: int, low: int) -> int | None:
+    """Where the dot sign, disguised or plain, begins that ends at ``at``."""
+    bare = _before_spaces(text, at, low)
+    if bare > low and text[bare - 1] in "])}>":
+        inner = _before_spaces(text, bare - 1, low)
+        m = _LAST_DOT_WORD.search(text[max(low, inner - 8) : inner])
+        if not m:
+            return None
+        start = _before_spaces(text, inner - len(m[0]), low)
+        return _before_spaces(text, start - 1, low) if start > low and text[start - 1] in "[({<" else None
+    if bare == at:
+        m = _ENTITY.search(text[max(low, at - 8) : at])
+        if m:
+            return at - len(m[0])
+        return at - 1 if at > low and text[at - 1] == "." else None
+    m = _LAST_DOT_WORD.search(text[max(low, bare - 8) : bare])
+    start = bare - len(m[0]) if m else bare
+    spaces = _before_spaces(text, start, low)
+    return spaces if m and spaces < start else None
+
+
+def _head_start(text: str, end: int, low: int) -> int | None:
+    """Where the names, parted by dot signs, begin that end at ``end``; read backwards, so that none is too long."""
+    best, at = None, end
+    while at > low and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        first = at
+        while first > low and (text[first - 1].isalnum() or text[first - 1] in "_%+-"):
+            first -= 1
+        # A name begins with a letter or digit, the first of all names at the edge of a word.
+        for i in range(first, at):
+            if text[i].isalnum() and (i == low or not (text[i - 1].isalnum() or text[i - 1] == "_")):
+                best = i
+                break
+        dot = _before_dot(text, first, low) if text[first].isalnum() else None
+        if dot is None:
+            break
+        at = dot
+    return best
+
+
 def at_and_dot(text: str) -> Rewriting:
     """Signs of addresses: a bare word "at" counts only if a dot of the domain is disguised as well."""
     edits: list[tuple[int, int, str]] = []
@@ -133,14 +178,15 @@ def at_and_dot(text: str) -> Rewriting:
         begin, done = hint.start(), edits[-1][1] if edits else 0
         while begin > done and (text[begin - 1].isspace() or text[begin - 1] in "[({<"):
             begin -= 1
+        if begin < done:
+            continue
         m = _TAIL.match(text, begin) or _TAIL.match(text, hint.start())
-        if begin < done or not m or not _TOP_LEVEL.search(m["domain"]) or (_PLAIN_AT.fullmatch(m["at"]) and not _ANY_DOT.search(m["domain"])):
+        if not m or not _TOP_LEVEL.search(m["domain"]) or (_PLAIN_AT.fullmatch(m["at"]) and not _ANY_DOT.search(m["domain"])):
             continue
-        low = max(done, m.start() - _HEAD_CHARS)
-        head = _HEAD.search(text[low : m.start()])
-        if not head:
+        head = _head_start(text, m.start(), done)
+        if head is None:
             continue
-        spots = [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, low + head.start(), m.start())]
+        spots = [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, head, m.start())]
         spots.append((m.start("at"), m.end("at"), "@"))
         spots += [(d.start(), d.end(), ".") for d in _DOT_PART.finditer(text, m.start("domain"), m.end())]
         edits += [(s, e, new) for s, e, new in spots if text[s:e] != new]
@@ -206,13 +252,22 @@ def _card_at(text: str, start: int, end: int) -> tuple[int, str] | None:
     return None
 
 
+def _free(spans: list[tuple[int, int, str, str]], start: int, end: int) -> int | None:
+    """The place of a span among ``spans``, which are in order and apart; None where it overlaps one."""
+    i = bisect_right(spans, start, key=lambda s: s[0])
+    if i and spans[i - 1][1] > start or i < len(spans) and spans[i][0] < end:
+        return None
+    return i
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of the identifiers in plain text; where kinds overlap the first named stays."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order and apart
 
     def put(start: int, end: int, kind: str, form: str) -> None:
-        if all(end <= s or e <= start for s, e, _, _ in found):
-            found.append((start, end, kind, form))
+        i = _free(found, start, end)
+        if i is not None:
+            found.insert(i, (start, end, kind, form))
 
     def add(m: re.Match, kind: str, form: str) -> None:
         put(m.start(), m.end(), kind, form)
@@ -221,7 +276,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         for m in _EMAIL.finditer(text):
             add(m, "email", m[0].lower())
     if not _DIGITS_THERE.search(text):
-        return sorted(found)
+        return found
     # A run may take in what follows an identifier, or begin before one: the search goes on where one ends or may begin.
     m = _IBAN.search(text)
     while m:
@@ -243,7 +298,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         digits = re.sub(r"\D", "", m[0])
         if 8 <= len(digits) <= 15:
             add(m, "phone", ("+" if m[0].startswith("+") else "") + digits)
-    return sorted(found)
+    return found
 
 
 def find_pii(text: str | None) -> list[tuple[int, int, str, str]]:
@@ -266,11 +321,11 @@ def find_pii(text: str | None) -> list[tuple[int, int, str, str]]:
 
 def _spelled_numbers(steps: list[Rewriting], known: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
     """Runs of seven to fifteen digits that were spelled out and are nothing else: telephone numbers, unless they only count up."""
-    out = []
+    out, known = [], sorted(known)
     for start, end, new in steps[1].edits:
         digits = re.sub(r"\D", "", new)
         start, end = steps[0].back(start, end)
-        if 7 <= len(digits) <= 15 and digits not in "01234567890123456789" and all(end <= s or e <= start for s, e, _, _ in known):
+        if 7 <= len(digits) <= 15 and digits not in "01234567890123456789" and _free(known, start, end) is not None:
             out.append((start, end, "phone", ("+" if new.startswith("+") else "") + digits))
     return out
 

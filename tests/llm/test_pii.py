@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import types as T
@@ -117,3 +118,99 @@ def test_identifiers_end_before_what_follows(text, kind, found):
 def test_two_ibans_in_a_row_are_both_found():
     got = pii.find_pii("DE89 3704 0044 0532 0130 00 GB29 NWBK 6016 1331 9268 19 x")
     assert [(k, n) for *_, k, n in got] == [("iban", "DE89370400440532013000"), ("iban", "GB29NWBK60161331926819")]
+
+
+def luhn_card(rng):
+    body = [4, *(rng.randint(0, 9) for _ in range(14))]
+    total = sum(d if i % 2 else sum(divmod(2 * d, 10)) for i, d in enumerate(body))
+    return "".join(map(str, [*body, -total % 10]))
+
+
+def german_iban(rng):
+    body = "".join(str(rng.randint(0, 9)) for _ in range(18))
+    return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+
+def spelled(digits, rng):
+    names = {d: [w for w, v in pii._VALUE.items() if v == d and w in "zero one two three four five six seven eight nine".split()][0] for d in "0123456789"}
+    return rng.choice([" ", ", ", "-"]).join(names[d] for d in digits)
+
+
+def planted(rng):
+    """An identifier as (kind, normal form, disguise)."""
+    word = lambda n: "".join(rng.choice("bcdfghklmnprstvz") + rng.choice("aeou") for _ in range(n))
+    kind = rng.choice(["email", "email", "email", "phone", "card", "iban", "ip", "ssn"])
+    if kind == "email":
+        names, labels = [word(2) for _ in range(rng.choice([1, 2, 3, 9]))], [*(word(2) for _ in range(rng.choice([1, 2, 8]))), rng.choice(["com", "org", "net"])]
+        if rng.random() < 0.1:
+            names[0] = word(150)
+        style = rng.randrange(5)
+        at = [" [at] ", " (AT) ", "@", " at ", "&#64;"][style]
+        dot = [" [dot] ", "(dot)", ".", " dot ", "."][style]
+        shown = dot.join(names) + at + dot.join(labels)
+        if style == 2 and rng.random() < 0.6:
+            shown = "".join({"a": "а", "e": "е", "o": "о"}.get(c, c) + ("\u200b" if rng.random() < 0.2 else "") for c in shown[:-1]) + shown[-1]
+        return kind, ".".join(names) + "@" + ".".join(labels), shown
+    if kind == "phone":
+        digits = f"{rng.randint(2, 9)}{rng.randint(10, 99)}555{rng.randint(1000, 9999)}"
+        return kind, digits, rng.choice([f"({digits[:3]}) {digits[3:6]}-{digits[6:]}", f"{digits[:3]}.{digits[3:6]}.{digits[6:]}", spelled(digits, rng)])
+    if kind == "card":
+        d = luhn_card(rng)
+        return kind, d, rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 16, 4)), spelled(d, rng)])
+    if kind == "iban":
+        d = german_iban(rng)
+        return kind, d, rng.choice([d, " ".join(d[i : i + 4] for i in range(0, 22, 4))])
+    if kind == "ip":
+        d = ".".join(str(rng.randint(11, 250)) for _ in range(4))
+        return kind, d, rng.choice([d, "".join(chr(0xFF10 + int(c)) if c.isdigit() else "．" for c in d)])
+    d = f"{rng.randint(100, 600)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}"
+    return "ssn", d, rng.choice([d, d.replace("-", "‑")])
+
+
+def test_planted_identifiers_come_back_exactly(spark):
+    """A round trip: texts are made of known identifiers under known disguises, and nothing else may be found."""
+    rng = random.Random(21)
+    rows, want = [], []
+    for doc_id in range(300):
+        text = ""
+        for _ in range(rng.choice([0, 1, 3, 12])):
+            text += rng.choice(["the old mill stood, ", "ünd süß ｗｏｒｄｓ; ", "no number here; ", "\u200bнет слов; "]) + "so: "
+            kind, normal, shown = planted(rng)
+            want.append((doc_id, kind, len(text), len(text) + len(shown), shown, normal))
+            text += shown + rng.choice([" ; ", " | ", "\n"])
+        rows.append((doc_id, text + "end"))
+    got = pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_offsets_by_brute_force():
+    """Each character carries its place through the rewritings; spans found must map back to the same places."""
+    rng = random.Random(5)
+    for _ in range(200):
+        text = "".join(rng.choice([planted(rng)[2], " word ", "é", "\u200b", "; "]) for _ in range(6))
+        places, now = [(i, i + 1) for i in range(len(text))], text
+        steps = []
+        for transducer in (pii.fold_homoglyphs, pii.spelled_digits, pii.at_and_dot):
+            r = transducer(now)
+            made, at = [], 0
+            for s, e, new in r.edits:
+                made += places[at:s] + [(places[s][0], places[e - 1][1])] * len(new)
+                at = e
+            places, now = made + places[at:], r.text
+            steps.append(r)
+        assert len(places) == len(now)
+        for start, end, *_ in pii.detect(now):
+            s, e = start, end
+            for r in reversed(steps):
+                s, e = r.back(s, e)
+            assert (s, e) == (places[start][0], places[end - 1][1])
+
+
+def test_many_identifiers_take_time_in_proportion():
+    took = []
+    for n in (2_000, 16_000):
+        text = " ".join(f"user{i}@mail{i}.org 10.1.{i % 250}.{i % 199}" for i in range(n))
+        t = time.perf_counter()
+        assert len(pii.find_pii(text)) == 2 * n
+        took.append(time.perf_counter() - t)
+    assert took[1] < 25 * took[0]
