@@ -18,13 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents_only, sliced
+from tessera.session import settled
 
 #: Size of the dictionary: a model of fixed size, made from counts over all documents.
 DICTIONARY_BYTES = 64 * 1024
 #: Longer candidates are measured in pieces of at most so many characters: from 64 bytes on zstandard codes
 #: literals by Huffman, and what a random string adds by its length depends on its alphabet.
 PIECE = 63
-#: Characters on each side of a candidate that it is compressed with.
+#: Characters on each side of a candidate that are its surroundings, unless given otherwise.
 AROUND = 256
 MIN_LENGTH, MIN_NOVELTY = 12, 0.9
 LEVEL = 3
@@ -35,12 +36,12 @@ _KEY = r"[A-Za-z0-9+/_.~-]"
 #: A colon, an equals sign, an arrow or "is", with or without quotes, on one line; after "bearer" a space will do.
 _GIVES = r"[\"'`]?[ \t]{0,3}(?::=|=>|[:=]|\bis\b)[ \t]{0,3}[\"'`]?"
 _CANDIDATE = re.compile(
-    rf"(?P<word>{_WORDS})[\w-]{{0,24}}(?:{_GIVES}|(?<=[Bb]earer)[ \t]+)(?P<a>{_KEY}{{{MIN_LENGTH},}}={{0,2}})"
+    rf"(?P<word>{_WORDS})[\w-]*+(?:{_GIVES}|(?<=[Bb]earer)[ \t]+)(?P<a>{_KEY}{{{MIN_LENGTH},}}={{0,2}})"
     rf"|(?<![A-Za-z0-9_])(?P<b>{_PREFIX}{_KEY}{{{MIN_LENGTH - 2},}}={{0,2}})",
     re.I,
 )
 _PREFIXED = re.compile(_PREFIX)
-_IDENTIFIER = re.compile(r"[^\W\d][\w$]{2,39}")
+_IDENTIFIER = re.compile(r"[^\W\d][\w$]{2,}")
 #: What of a candidate may be words: a secret's own letters are rarely in this form.
 _WORD_PART = re.compile(r"[A-Z]?[a-z]{3,}")
 
@@ -100,8 +101,18 @@ def identifier_counts(docs: DataFrame) -> DataFrame:
 
 def dictionary(docs: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """The most frequent identifiers up to ``size`` bytes, the most frequent last, where zstandard finds them cheapest."""
+    counts = settled(identifier_counts(docs).select("word", "n", F.octet_length("word").alias("bytes")), "identifiers")
+    # Counts are put in classes, 32 to each power of two, of which there are some 2,000 whatever the corpus. The
+    # words of the classes that fill the dictionary are all that the driver gets.
+    level = F.floor(F.log2("n") * 32).cast("int")
+    classes = counts.groupBy(level.alias("level")).agg(F.sum(F.col("bytes") + 1).alias("bytes"), F.min("n").alias("n")).collect()
+    least, room = 1, size
+    for c in sorted(classes, key=lambda c: -c["level"]):
+        least, room = c["n"], room - c["bytes"]
+        if room <= 0:
+            break
     # An identifier has three bytes at least, so no more rows than this can be needed.
-    rows = identifier_counts(docs).orderBy(F.desc("n"), "word").limit(size // 4).collect()
+    rows = counts.filter(F.col("n") >= least).select("word", "n").orderBy(F.desc("n"), "word").limit(size // 4).collect()
     words, total = [], 0
     for r in rows:
         w = r["word"].encode()
@@ -141,12 +152,14 @@ class Novelty:
 _FOUND = "doc_id long, start int, end int, context string, found string, added_bytes int, novelty double"
 
 
-def secret_scan(docs: DataFrame, min_novelty: float = MIN_NOVELTY, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+def secret_scan(docs: DataFrame, min_novelty: float = MIN_NOVELTY, dictionary_bytes: int = DICTIONARY_BYTES, around: int = AROUND) -> DataFrame:
     """(doc_id, start, end, context, found, added_bytes, novelty), one row per reported string.
 
     ``start`` and ``end`` count characters of the text, ``context`` is the sensitive word before the
     string, or "prefix" for a prefix of credentials; ``novelty`` is ``added_bytes`` by the string's
-    length, and strings of less than ``min_novelty`` aren't reported. Needs doc_id and text; other
+    length, and strings of less than ``min_novelty`` aren't reported. ``around`` characters on each side
+    are the code that a string is measured against. Identifiers that are equally frequent come into the
+    dictionary by the alphabet. Needs doc_id and text; other
     columns are ignored whatever their names. Null and empty texts have no secrets. Repeated rows are
     reported as often; a string is measured afresh wherever it stands. Whole texts are scanned,
     however long. An empty table gives no rows.
@@ -163,7 +176,7 @@ def secret_scan(docs: DataFrame, min_novelty: float = MIN_NOVELTY, dictionary_by
                 # What a candidate stands in is measured without candidates: a secret said twice is one still.
                 bare = _blanked(text, spans) if spans else ""
                 for s, e, context in spans:
-                    n = measure(bare[max(0, s - AROUND) : s], text[s:e], bare[e : e + AROUND])
+                    n = measure(bare[max(0, s - around) : s], text[s:e], bare[e : e + around])
                     if n >= min_novelty * (e - s):
                         rows.append((doc_id, s, e, context, text[s:e], n, n / (e - s)))
             columns = list(zip(*rows)) or [()] * 7

@@ -1,5 +1,8 @@
 import random
+import re
+from collections import Counter
 
+import zstandard
 from fixtures import AWKWARD, documents
 
 from tessera.llm import secrets
@@ -60,3 +63,56 @@ def test_long_random_strings_of_small_alphabets_are_new(spark):
     jwt = "eyJ" + "".join(rng.choice(alphabets[2][:62]) for _ in range(600))
     rows = [(1, f'token = "{hexes(64, rng)}"', "en", "s"), (2, f"bearer {jwt}", "en", "s")]
     assert sorted(r.doc_id for r in secrets.secret_scan(documents(spark, rows)).collect()) == [1, 2]
+
+
+def brute_scan(rows, size, around):
+    """Dictionary and novelty over plain lists: identifiers counted in one Counter and sorted whole, each string compressed by itself."""
+    counts = Counter()
+    for _, text in rows:
+        spans = secrets.candidates(text or "")
+        bare = list(text or "")
+        for s, e, _ in spans:
+            bare[s:e] = " " * (e - s)
+            counts.update(re.findall("[A-Z]?[a-z]{3,}", text[s:e]))
+        counts.update(re.findall(r"[^\W\d][\w$]{2,}", "".join(bare)))
+    words, total = [], 0
+    for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        if total + len(w.encode()) + 1 > size:
+            break
+        words.append(w)
+        total += len(w.encode()) + 1
+    primer = "".join(w + " " for w in reversed(words)).encode()
+    out = []
+    for doc_id, text in rows:
+        spans = secrets.candidates(text or "")
+        bare = list(text or "")
+        for s, e, _ in spans:
+            bare[s:e] = " " * (e - s)
+        bare = "".join(bare)
+        for s, e, context in spans:
+            n, k = 0, -(-(e - s) // secrets.PIECE)
+            for i in range(k):
+                lo, hi = s + i * (e - s) // k, s + (i + 1) * (e - s) // k
+                known = primer + (bare[e : e + around] + bare[max(0, s - around) : s]).encode() + b" " * 8 + text[s:lo].encode()
+                c = zstandard.ZstdCompressor(level=secrets.LEVEL, dict_data=zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+                n += max(0, len(c.compress(text[lo:hi].encode())) - len(c.compress(b"")))
+            if n / (e - s) >= secrets.MIN_NOVELTY:
+                out.append((doc_id, s, e, context, text[s:e], n))
+    return sorted(out), primer
+
+
+def test_scan_and_dictionary_against_brute_force(spark):
+    rng = random.Random(12)
+    names = ["".join(rng.choice("abcdefghijklmnoprstu") for _ in range(rng.randint(3, 60))) for _ in range(400)]
+    rows = []
+    for i in range(200):
+        code = " ".join(rng.choice(names[: rng.choice([5, 50, 400])]) for _ in range(rng.randint(0, 80)))
+        secret = rng.choice([hexes(rng.choice([12, 32, 64, 130]), rng), rng.choice(names), "_".join(rng.sample(names, 2)), "sk-" + hexes(30, rng)])
+        rows.append((i, code + rng.choice([' token = "', " password: ", " api_key_of_the_very_long_named_service_account=", " x "]) + secret + '" ' + code[::-1]))
+    rows += [(500, None), (501, "")]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows])
+    for size, around in ((2_000, 256), (600, 40), (65_536, 0)):
+        want, primer = brute_scan(rows, size, around)
+        assert secrets.dictionary(docs, size) == primer
+        got = sorted((r.doc_id, r.start, r.end, r.context, r.found, r.added_bytes) for r in secrets.secret_scan(docs, dictionary_bytes=size, around=around).collect())
+        assert got == want and len(want) > 50
