@@ -22,6 +22,8 @@ from tessera.llm.tokens import VOCABULARY, codec, release
 from tessera.session import cut, settled
 
 BLOCK, SHARD_SLOTS, SEED = 1024, 4096, 7
+#: Shards whose draws are numbered in one window.
+RUN = 4096
 _TURNS = np.array([t * 0x9E3779B97F4A7C15 % 2**64 for t in range(6)], np.uint64)
 #: Without given weights a source weighs as its tokens to this power: 1 as it is, 0 all alike.
 TEMPERATURE = 0.5
@@ -158,10 +160,18 @@ def draw_slots(
 
     if not sources or n_slots <= 0:
         return spark.createDataFrame([], "shard long, slot long, source string, epoch long, block long")
-    drawn = spark.range(-(-n_slots // shard_slots)).mapInPandas(counts, "shard long, s int, n long")
-    earlier = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = drawn.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    by_shard = numbered.filter("n > 0").groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("s", "n", "first"))).alias("drawn"))
+    n_shards = -(-n_slots // shard_slots)
+    # Draws are numbered by runs of shards, then within each run, so that no window goes over all shards.
+    drawn = spark.range(n_shards).mapInPandas(counts, "shard long, s int, n long").withColumn("run", F.floor(F.col("shard") / RUN))
+    runs = drawn.groupBy("s", "run").agg(F.sum("n").alias("in_run"))
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("s", "run", F.coalesce(F.sum("in_run").over(before("s", "run")), F.lit(0)).alias("start"))
+    local = drawn.withColumn("local", F.coalesce(F.sum("n").over(before("s", "run", "shard")), F.lit(0)))
+    numbered = local.join(starts, ["s", "run"]).select("shard", "s", "n", (F.col("start") + F.col("local")).alias("first"))
+    # A row here is thousands of slots when filled: the number of tasks is set by the shards, not by the bytes that come in.
+    tasks = max(1, min(n_shards, max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    spread = numbered.filter("n > 0").repartition(tasks, "shard")
+    by_shard = spread.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("s", "n", "first"))).alias("drawn"))
     slots = by_shard.mapInPandas(fill, "shard long, slot long, source string, epoch long, block long")
     # There are as many slots as the data has blocks, which Spark can't tell: they must not be broadcast.
     return slots.hint("shuffle_hash")
@@ -183,7 +193,7 @@ def mix(
     of, in order. ``n_slots`` is as many as there are blocks if not given. A source drawn more often
     than it has blocks is gone through again, in another order, ``epoch`` counting its passes. The
     last block of a source may be shorter. A source's stream follows the order of its rows in the
-    input's partitions. Needs doc_id, text, lang and source; other columns are ignored whatever their
+    input's partitions: there are no ties. Needs doc_id, text, lang and source; other columns are ignored whatever their
     names. Null and empty texts have no tokens and no place. A null source is the source "unknown".
     Repeated rows are as many documents. Texts may be of any length. An empty table gives no rows.
     """
@@ -211,6 +221,10 @@ def mixed_documents(
 
     A document within one block comes whole; of one that spans several, each drawn block gives the
     part of its text that lies there. A block that is drawn several times gives its parts as often.
+    Null and empty texts have no tokens and no row; a null source reads "unknown". Repeated rows are as
+    many documents; rows follow their order in the input's partitions, so there are no ties. Columns
+    beyond the five are left out, and ``n_chars`` is counted anew. Texts may be of any length. An empty
+    table gives no rows.
     """
     tokens = tokenised(documents_only(docs), vocabulary)
     sources = _sources(tokens, block)
