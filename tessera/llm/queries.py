@@ -29,8 +29,7 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").filter("quality = 1")
-    return crossparse.whole_parse_scores(table(spark, sf_dir, "documents"), good)
+    return crossparse.cross_parse_scores(table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
