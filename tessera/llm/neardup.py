@@ -1,23 +1,23 @@
 """Near-duplicate groups by SimHash and Golay-code fuzzy hashing.
 
-A document's features are its distinct long words; the signs of the features' summed random vectors
-are its fingerprint of five segments of 23 bits. A segment is decoded to the indices of the Golay
-codewords within 4 of it: segments that differ in one bit always have one in common, segments that
-differ in two or three often. If two fingerprints differ in few bits then, by the pigeonhole
-principle, some two of the five segments differ in few each. So every pair of segments gives keys:
-one segment's indices with the other's nearest index. These keys find most pairs that differ in some
-16 bits and few of those at 24 or more, where a Jaccard similarity of 0.6 to 0.8 lies; so the
-smallest of the features under each of 45 hash functions, three by three, give 15 more keys, of which
-a pair of similarity J shares one with probability 1 - (1 - J^3)^15: 0.97 at 0.6. Fingerprints that meet under a key are
-verified by their Hamming distance, then by the Jaccard similarity of the documents' features.
-Verified pairs are the edges of a graph whose components are the groups.
+A document's features are its distinct pairs of neighbouring tokens, all words and numbers among
+them; the signs of the features' summed random vectors are its fingerprint of five segments of 23
+bits. A segment is decoded to the indices of the Golay codewords within 4 of it: segments that differ
+in at most two bits have one in common. Of two fingerprints that differ in at most 14 bits, some
+segment does by the pigeonhole principle. An index has but 12 bits, and segments meet by chance; so
+each key is an index with two features, the smallest of the document's under two hash functions.
+Fifteen such, three to a segment, find most pairs of Jaccard similarity 0.75 or more. Below that
+fingerprints differ in 20 to 30 bits, in four or more in each segment; so the smallest features under
+three hash functions, without an index, give 15 more keys, of which a pair of similarity J shares one
+with probability 1 - (1 - J^3)^15: 0.97 at 0.6. Fingerprints that meet under a key are verified by their
+Hamming distance, then by the Jaccard similarity of the documents' whole feature sets. Verified pairs
+are the edges of a graph whose components are the groups.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -35,66 +35,51 @@ BITS = SEGMENTS * golay.LENGTH
 MAX_DISTANCE = 34
 #: Near duplicates share at least this part of their features.
 MIN_JACCARD = 0.6
-#: Features kept of a document for verification: those of smallest hash, all where there are no more.
-SKETCH = 128
-_LONG = re.compile(r"[^\W\d_]{5,}")
 _WORD = re.compile(r"\w+")
-#: Keys of smallest features: so many bands of so many hash functions.
+#: Keys of smallest features: so many bands of so many hash functions; and as many keys with a segment's index.
 BANDS, BAND_ROWS = 15, 3
-_FEW = 8
 _CACHED_WORDS = 150_000
-_NONE = 1 << 32
 
 
-def features(text: str) -> set[str]:
-    """Distinct lower-case words of five letters or more; where these are few, all words, else all tokens."""
-    low = text.lower()
-    words = set(_LONG.findall(low))
-    if len(words) < _FEW:
-        words = set(_WORD.findall(low)) or set(low.split())
-    return words
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
 
 class Signer:
-    """Fingerprints and sketches of texts; a word's random vector is its 128-bit hash."""
+    """Features of texts; words that were seen before aren't hashed again."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
-        self._clear()
 
-    def _clear(self) -> None:
-        self.known.clear()
-        self.signs = np.zeros((0, BITS), np.int8)
-        self.short = np.zeros(0, np.uint32)
+    def features(self, text: str | None) -> np.ndarray:
+        """Sorted distinct hashes of the pairs of neighbouring tokens, of the token where there is one only."""
+        low = (text or "").lower()
+        words = _WORD.findall(low) or low.split()
+        if len(self.known) > _CACHED_WORDS:
+            self.known.clear()
+        known = self.known
+        for w in set(words).difference(known):
+            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.unique(_mixed(h[:-1] * np.uint64(3) + h[1:]) if len(h) > 1 else h)
 
-    def _learn(self, words: list[str]) -> None:
-        h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w.encode("utf-8", "surrogatepass")) for w in words]), np.uint8).reshape(-1, 16)
-        signs = np.unpackbits(h, axis=1)[:, :BITS].astype(np.int8) * 2 - 1
-        self.signs = np.concatenate([self.signs, signs])
-        self.short = np.concatenate([self.short, np.ascontiguousarray(h[:, 12:]).view(np.uint32)[:, 0]])
 
-    def sign(self, texts: list[str | None]) -> tuple[list, np.ndarray]:
-        """Sorted feature hashes by text, and the sums of sign vectors."""
-        if len(self.known) > _CACHED_WORDS:
-            self._clear()
-        known, at, new = self.known, [], []
-        for t in texts:
-            words = features(t) if t else ()
-            ids = []
-            for w in words:
-                i = known.get(w)
-                if i is None:
-                    i = known[w] = len(known)
-                    new.append(w)
-                ids.append(i)
-            at.append(np.array(ids, np.int64))
-        if new:
-            self._learn(new)
-        sums = np.zeros((len(texts), BITS), np.int32)
-        for k, ids in enumerate(at):
-            if len(ids):
-                sums[k] = self.signs[ids].sum(axis=0, dtype=np.int32)
-        return [np.unique(self.short[ids]) for ids in at], sums
+def summed_signs(features: list[np.ndarray]) -> np.ndarray:
+    """By feature set, the sum of its features' sign vectors, which are bits of their hashes."""
+    sums = np.zeros((len(features), BITS), np.int32)
+    for k, f in enumerate(features):
+        for at in range(0, len(f), 8192):
+            part = f[at : at + 8192]
+            bits = np.unpackbits(np.stack([_mixed(part), _mixed(part ^ np.uint64(0x5851F42D4C957F2D))], axis=1).view(np.uint8), axis=1)
+            sums[k] += 2 * bits[:, :BITS].sum(axis=0, dtype=np.int32) - len(part)
+    return sums
+
+
+def hashed_set(features: np.ndarray) -> np.ndarray:
+    """A whole feature set in 32 bits a feature, for comparison."""
+    return np.unique((features >> np.uint64(32)).astype(np.uint32))
 
 
 def fingerprint_bits(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,53 +96,69 @@ def segments(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return (bits.reshape(-1, SEGMENTS, golay.LENGTH) << np.arange(golay.LENGTH)).sum(axis=2)
 
 
-def keys_of(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all fuzzy-hash keys of each fingerprint."""
-    words = segments(hi, lo)
-    lists = [golay.near(words[:, i]) for i in range(SEGMENTS)]
-    rows, keys, every = [], [], np.arange(len(hi))
-    for combo, (a, b) in enumerate(combinations(range(SEGMENTS), 2)):
-        for j in range(6):
-            for first, second in ([(lists[a][:, j], lists[b][:, 0]), (lists[a][:, 0], lists[b][:, j])] if j else [(lists[a][:, 0], lists[b][:, 0])]):
-                there = (first >= 0) & (second >= 0)
-                rows.append(every[there])
-                keys.append((combo << 24) | (first[there] << 12) | second[there])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 _MIXERS = np.random.default_rng(23).integers(0, 1 << 63, (3, BANDS * BAND_ROWS), dtype=np.uint64)
 
 
-def band_keys(hashes: list[np.ndarray]) -> np.ndarray:
-    """A row of ``BANDS`` keys for each set of feature hashes; they are beyond all keys of :func:`keys_of`."""
-    least = np.zeros((len(hashes), BANDS * BAND_ROWS), np.uint64)
+def least_features(features: list[np.ndarray]) -> np.ndarray:
+    """By feature set, the smallest hash of its features under each hash function."""
+    least = np.zeros((len(features), BANDS * BAND_ROWS), np.uint64)
     factor, shift = _MIXERS[0] | np.uint64(1), _MIXERS[1]
-    for k, h in enumerate(hashes):
+    for k, h in enumerate(features):
         for i in range(0, len(h), 4096):
-            low = ((h[i : i + 4096, None].astype(np.uint64) * factor + shift) >> np.uint64(20)).min(axis=0)
+            low = ((h[i : i + 4096, None] * factor + shift) >> np.uint64(20)).min(axis=0)
             least[k] = np.minimum(least[k], low) if i else low
-    mixed = (least + np.uint64(1)) * (_MIXERS[2] | np.uint64(1))
-    mixed ^= mixed >> np.uint64(29)
-    key = np.zeros((len(hashes), BANDS), np.uint64)
-    for r in range(BAND_ROWS):
-        key = (key ^ mixed[:, r::BAND_ROWS]) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-    return ((key >> np.uint64(2)) | np.uint64(1 << 62)).astype(np.int64)
+    return least
 
 
-_SIGNED = "doc_id long, thash long, node long, hi long, lo long, sketch array<int>, bands array<long>"
+def _joined(parts: list[np.ndarray], tag: int) -> np.ndarray:
+    key = np.full(parts[0].shape, tag * 0x9E3779B9 + 1, np.uint64)
+    for x in parts:
+        key = _mixed((key ^ (x + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15))
+    return key
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A row of ``2 * BANDS`` numbers for each set: keys of three smallest features, then pairs that an index joins."""
+    three = [_joined([least[:, r * BAND_ROWS + i] for i in range(BAND_ROWS)], r) for r in range(BANDS)]
+    # Other combinations than the bands', so that these keys find other pairs.
+    two = [_joined([least[:, r * BAND_ROWS + 2], least[:, (r + 1) % BANDS * BAND_ROWS]], BANDS + r) for r in range(BANDS)]
+    return np.stack(three + two, axis=1).view(np.int64)
+
+
+def keys_of(hi: np.ndarray, lo: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of all keys of each fingerprint: those of three features, and each pair with each index of its segment."""
+    words = segments(hi, lo)
+    lists = [golay.near(words[:, i]) for i in range(SEGMENTS)]
+    every = np.arange(len(hi))
+    rows, keys = [np.repeat(every, BANDS)], [np.ascontiguousarray(bands[:, :BANDS]).ravel()]
+    for r in range(BANDS):
+        for j in range(lists[0].shape[1]):
+            index = lists[r % SEGMENTS][:, j]
+            there = index >= 0
+            rows.append(every[there])
+            keys.append(_joined([bands[there, BANDS + r].view(np.uint64), index[there].astype(np.uint64)], 0).view(np.int64))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+_SIGNED = "doc_id long, thash long, node long, hi long, lo long, bands array<long>, features array<int>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, thash, node, hi, lo, sketch, bands); node is null where a text has no token. Rows with equal features share a node."""
+    """(doc_id, thash, node, hi, lo, bands, features); node is null where a text has no token.
+
+    Rows with equal features share a node; the last two columns are given once by each task, and null
+    where the task has given them for an earlier row of the node.
+    """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
+        signer, given = Signer(), set()
         for b in sliced(batches):
-            hashes, sums = signer.sign(b.column("text").to_pylist())
-            hi, lo = fingerprint_bits(sums)
-            none = np.array([len(h) == 0 for h in hashes])
-            node = [None if not len(h) else xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63) for h in hashes]
+            every = [signer.features(t) for t in b.column("text").to_pylist()]
+            hi, lo = fingerprint_bits(summed_signs(every))
+            none = np.array([len(f) == 0 for f in every])
+            node = [None if not len(f) else xxhash.xxh3_64_intdigest(f.tobytes()) - (1 << 63) for f in every]
+            first = [n is not None and n not in given and not given.add(n) for n in node]
+            bands = band_keys(least_features([f if x else f[:0] for f, x in zip(every, first)]))
             yield pa.record_batch(
                 [
                     b.column("doc_id"),
@@ -165,27 +166,45 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array(node, pa.int64()),
                     pa.array(hi, pa.int64(), mask=none),
                     pa.array(lo, pa.int64(), mask=none),
-                    pa.array([h[:SKETCH].view(np.int32) for h in hashes], pa.list_(pa.int32())),
-                    pa.array(list(band_keys(hashes)), pa.list_(pa.int64())),
+                    pa.array([k if x else None for k, x in zip(bands, first)], pa.list_(pa.int64())),
+                    pa.array([hashed_set(f).view(np.int32) if x else None for f, x in zip(every, first)], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "thash", "node", "hi", "lo", "sketch", "bands"],
+                names=["doc_id", "thash", "node", "hi", "lo", "bands", "features"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("thash"), "text").mapInArrow(sign, _SIGNED)
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
+    """(key, node) of all keys of ``nodes`` (node, hi, lo, bands)."""
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 2000):
                 node, hi, lo = (b.column(c).slice(start, 2000).to_numpy(zero_copy_only=False) for c in ("node", "hi", "lo"))
-                rows, keys = keys_of(hi, lo)
-                bands = b.column("bands").slice(start, 2000)
-                rows = np.concatenate([rows, np.repeat(np.arange(len(bands)), BANDS)])
-                keys = np.concatenate([keys, bands.flatten().to_numpy()])
-                yield pa.record_batch([pa.array(keys), pa.array(node[rows]), pa.array(hi[rows]), pa.array(lo[rows])], names=["key", "node", "hi", "lo"])
+                bands = b.column("bands").slice(start, 2000).flatten().to_numpy(zero_copy_only=False).reshape(len(node), 2 * BANDS)
+                rows, keys = keys_of(hi, lo, bands)
+                yield pa.record_batch([pa.array(keys), pa.array(node[rows])], names=["key", "node"])
+
+    return nodes.select("node", "hi", "lo", "bands").mapInArrow(explode, "key long, node long")
+
+
+def _meeting(nodes: DataFrame) -> DataFrame:
+    """(key, node, hi, lo), parted and sorted by key: the rows of keys that several nodes have.
+
+    Most keys are one node's alone; these leave before fingerprints are sent along.
+    """
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _buckets(batches):
+            key, node = (t.column(c).to_numpy() for c in ("key", "node"))
+            alike = key[1:] == key[:-1]
+            met = np.concatenate([[False], alike]) | np.concatenate([alike, [False]])
+            yield pa.record_batch([pa.array(key[met]), pa.array(node[met])], names=["key", "node"])
 
-    return nodes.select("node", "hi", "lo", "bands").mapInArrow(explode, "key long, node long, hi long, lo long")
+    met = _keyed(nodes).repartition("key").sortWithinPartitions("key").mapInArrow(several, "key long, node long")
+    full = met.join(nodes.select("node", "hi", "lo"), "node").select("key", "node", "hi", "lo")
+    return full.repartition("key").sortWithinPartitions("key", "node")
 
 
 def _close(hi_a, lo_a, hi_b, lo_b, most: int) -> np.ndarray:
@@ -253,37 +272,52 @@ def candidate_edges(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataF
             a, b = bucket_edges(*(t.column(c).to_numpy() for c in ("key", "node", "hi", "lo")), max_distance)
             yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    grouped = _keyed(nodes).repartition("key").sortWithinPartitions("key", "node")
-    return grouped.mapInArrow(scan, "a long, b long").filter("a <> b").distinct()
+    return _meeting(nodes).mapInArrow(scan, "a long, b long").filter("a <> b").distinct()
 
 
-def _similar(edges: DataFrame, sketches: DataFrame, min_jaccard: float) -> DataFrame:
-    """Edges whose feature sets' Jaccard similarity, estimated by the sketches, is high enough. Exact where a sketch is a whole set."""
-    a = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    # Sketches are ordered as unsigned numbers; their order as signed ones, after a flip of the top bit, is the same.
-    flip = lambda c: F.transform(c, lambda x: x.bitwiseXOR(F.lit(-(1 << 31))))
-    least = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), "u"))
-    joined = edges.join(a, "a").join(b, "b").withColumn("sa", flip("sa")).withColumn("sb", flip("sb")).withColumn("u", least)
-    return joined.filter(both >= F.lit(min_jaccard) * F.size("u")).select("a", "b")
+def _similar(edges: DataFrame, sets: DataFrame, min_jaccard: float) -> DataFrame:
+    """Edges whose whole feature sets' Jaccard similarity is high enough."""
+    a = sets.select(F.col("node").alias("a"), F.col("features").alias("fa"))
+    b = sets.select(F.col("node").alias("b"), F.col("features").alias("fb"))
+    both = F.size(F.array_intersect("fa", "fb"))
+    return edges.join(a, "a").join(b, "b").filter(both >= F.lit(min_jaccard) * (F.size("fa") + F.size("fb") - both)).select("a", "b")
 
 
-def similar_rows(a: np.ndarray, b: np.ndarray, min_jaccard: float) -> np.ndarray:
-    """As :func:`_similar`, of sketches in rows of numbers that are filled up with ``_NONE``."""
-    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    again = np.zeros(both.shape, bool)
-    again[:, 1:] = both[:, 1:] == both[:, :-1]
-    there = both != _NONE
-    rank = np.cumsum(there & ~again, axis=1)
-    common = (again & there & (rank <= SKETCH)).sum(axis=1)
-    return common >= min_jaccard * np.minimum(rank[:, -1], SKETCH)
+def similar_rows(sets: list[np.ndarray], min_jaccard: float, rare: int = 16, rows: int = 512, columns: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places i < j whose sets' Jaccard similarity is high enough, by blocks of ``rows``.
 
-
-def _sketch_rows(column: pa.ListArray) -> np.ndarray:
-    rows = np.full((len(column), SKETCH), _NONE, np.int64)
-    rows[np.arange(SKETCH) < column.value_lengths().to_numpy()[:, None]] = column.flatten().to_numpy().view(np.uint32)
-    return rows
+    Exact for all pairs: features of few sets are counted pair by pair, the others by matrix products.
+    """
+    n, sizes = len(sets), np.array([len(x) for x in sets])
+    if n < 2 or not sizes.sum():
+        return
+    owner = np.repeat(np.arange(n), sizes)
+    _, feature, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(feature, kind="stable")
+    feature, owner = feature[order], owner[order]
+    few = df[feature] <= rare
+    f, o = feature[few], owner[few]
+    left, right = [], []
+    for step in range(1, rare):  # pairs of rows of one feature that lie so far apart
+        same = np.flatnonzero(f[step:] == f[:-step]) if len(f) > step else np.zeros(0, np.int64)
+        left.append(o[same])
+        right.append(o[same + step])
+    left, right = np.concatenate(left), np.concatenate(right)
+    f, o = feature[~few], owner[~few]
+    kinds, f = np.unique(f, return_inverse=True)
+    cuts = np.searchsorted(f, np.arange(0, len(kinds) + columns, columns))
+    for lo in range(0, n, rows):
+        hi = min(n, lo + rows)
+        here = (left >= lo) & (left < hi)
+        common = np.bincount((left[here] - lo) * n + right[here], minlength=(hi - lo) * n).reshape(hi - lo, n).astype(np.float32)
+        for k, (x, y) in enumerate(zip(cuts, cuts[1:])):
+            there = np.zeros((n, min(columns, len(kinds) - k * columns)), np.float32)
+            there[o[x:y], f[x:y] - k * columns] = 1
+            common += there[lo:hi] @ there.T
+        union = sizes[lo:hi, None] + sizes[None, :] - common
+        i, j = np.nonzero(common >= np.float32(min_jaccard) * union - 1e-3)
+        good = (common[i, j].astype(np.int64) >= min_jaccard * union[i, j].astype(np.int64)) & (j > i + lo)
+        yield i[good] + lo, j[good]
 
 
 def rival_rows(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, label: np.ndarray, most: int, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -308,7 +342,7 @@ def rival_rows(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, label: np.ndarra
 def rival_edges(nodes: DataFrame, max_distance: int, min_jaccard: float) -> DataFrame:
     """(a, b), distinct: verified pairs that meet under a key and whose labels differ.
 
-    ``nodes`` has node, label and sketch besides what keys are made of. Sketches go only to rows
+    ``nodes`` has node, label and features besides what keys are made of. Features go only to rows
     that are close to another in their bucket, and are compared there.
     """
 
@@ -323,17 +357,19 @@ def rival_edges(nodes: DataFrame, max_distance: int, min_jaccard: float) -> Data
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _buckets(batches):
             key, node, hi, lo, label = (t.column(c).to_numpy() for c in ("key", "node", "hi", "lo", "label"))
-            sketch = _sketch_rows(t.column("sketch").combine_chunks())
-            for a, b in rival_rows(key, hi, lo, label, max_distance):
-                for i in range(0, len(a), 20_000):
-                    x, y = a[i : i + 20_000], b[i : i + 20_000]
-                    good = similar_rows(sketch[x], sketch[y], min_jaccard)
-                    x, y = node[x[good]], node[y[good]]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-
-    keyed = _keyed(nodes).join(nodes.select("node", "label"), "node").select("key", "node", "hi", "lo", "label")
+            features = t.column("features")
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            for x, y in zip(starts, [*starts[1:], len(key)]):
+                sets = [v.values.to_numpy(zero_copy_only=False) for v in features[x:y]]
+                for a, b in similar_rows(sets, min_jaccard):
+                    a, b = a + x, b + x
+                    good = (label[a] != label[b]) & _close(hi[a], lo[a], hi[b], lo[b], max_distance)
+                    a, b = node[a[good]], node[b[good]]
+                    yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    keyed = _meeting(nodes).join(nodes.select("node", "label"), "node").select("key", "node", "hi", "lo", "label")
     met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(close, "key long, node long")
-    whole = met.join(nodes.select("node", "hi", "lo", "label", "sketch"), "node").select("key", "node", "hi", "lo", "label", "sketch")
+    whole = met.join(nodes.select("node", "hi", "lo", "label", "features"), "node").select("key", "node", "hi", "lo", "label", "features")
     return whole.repartition("key").sortWithinPartitions("key", "node").mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -364,18 +400,19 @@ def components(edges: DataFrame) -> DataFrame:
 def _groups(docs: DataFrame, max_distance: int, min_jaccard: float) -> tuple[DataFrame, DataFrame]:
     """The signed rows, and (node, label) of the nodes that are near another."""
     signed = settled(signatures(docs), "signatures")
-    nodes = signed.filter("node is not null").groupBy("node").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.first("bands").alias("bands"))
+    given = signed.filter("bands is not null")
+    nodes = settled(given.groupBy("node").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.first("bands").alias("bands")), "nodes")
     edges = settled(candidate_edges(nodes, max_distance), "edges")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sketches = signed.join(ends, "node").groupBy("node").agg(F.first("sketch").alias("sketch"))
-    similar = settled(_similar(edges, sketches, min_jaccard), "similar")
+    sets = settled(given.select("node", "features").join(ends, "node").groupBy("node").agg(F.first("features").alias("features")), "sets")
+    similar = settled(_similar(edges, sets, min_jaccard), "similar")
     labels = components(similar)
     # A bucket's first row stood for pairs of it only where its edges hold. Whatever an edge that failed
     # leaves apart is compared pair by pair, with all that an end of it was joined to.
     by_a, by_b = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     named = edges.join(by_a, "a", "left").join(by_b, "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"))
     apart = named.filter("la <> lb").select(F.explode(F.array("la", "lb")).alias("label")).distinct()
-    ended = nodes.join(sketches, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    ended = nodes.join(sets, "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rivals = settled(ended.join(apart, "label", "left_semi"), "rivals")
     if rivals.isEmpty():
         return signed, labels
