@@ -116,3 +116,11 @@ def test_scan_and_dictionary_against_brute_force(spark):
         assert secrets.dictionary(docs, size) == primer
         got = sorted((r.doc_id, r.start, r.end, r.context, r.found, r.added_bytes) for r in secrets.secret_scan(docs, dictionary_bytes=size, around=around).collect())
         assert got == want and len(want) > 50
+
+
+def test_the_quick_look_misses_no_candidate():
+    rng = random.Random(2)
+    names = ["api-key", "APIKEY", "access_key", "private-key", "secret", "client_secret", "ToKen", "authorization", "auth_key", "bearer", "password", "passwd", "passphrase", "PWD", "credential", "\u017fecret", "api_\u212aey"]
+    starts = ["AKIA", "ASIA", "ghp_", "ghr_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "xoxb-", "AIza", "npm_", "eyJ"]
+    for text in [*(f"x {n}: {hexes(30, rng)}" for n in names), *(f"x {p}{hexes(30, rng)}" for p in starts)]:
+        assert len(secrets.candidates(text)) == 1, text
