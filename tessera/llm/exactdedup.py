@@ -2,21 +2,26 @@
 
 The stream carries digests and content locators, never texts. Its state, kept in RocksDB on disk
 and never expired, holds for each digest the stable identifier and the locator of the content seen
-first, and how often it was seen. Rows whose digest was seen more than once are then compared by
-their full bytes, so that a collision of digests never makes two contents one.
+first, and how often it was seen. A row whose digest was seen before is a hit: the content that came
+first is fetched by its locator, be it of this call or an earlier one, and the full bytes of the two
+are compared, so that a collision of digests never makes two contents one. Contents that collide with
+another's digest are noted beside the state with their own locators.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import DOCUMENT_COLUMNS, document_columns, documents_only
-from tessera.session import fresh_path
+from tessera.session import cut, fresh_path, settled
 
+#: Rows of locators up to which they are broadcast; more are joined by shuffling.
+BROADCAST_ROWS = 100_000
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -25,30 +30,30 @@ def sha256(text: Column) -> Column:
 
 
 def _located(docs: DataFrame) -> DataFrame:
-    """The columns of documents with ``__loc``, where the content lies: file and row, if the rows are read from files."""
-    plain = documents_only(docs)
+    """The columns of documents with ``__loc``, where the content lies: file and row. Rows that aren't read from files are written first."""
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select(*document_columns(df), place.alias("__loc"))
+
     if "_metadata" not in docs.columns:
         try:
-            found = docs.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
-            place = F.struct(F.col("__path").alias("path"), F.col("__row").alias("row"))
-            return found.select(*document_columns(found), place.alias("__loc"))
+            return placed(docs)
         except AnalysisException:
-            pass  # not read from Parquet files: the identifier is all there is to find the content by
-    place = F.struct(F.lit(None).cast("string").alias("path"), F.col("doc_id").alias("row"))
-    return plain.withColumn("__loc", place)
+            pass  # not read from Parquet files
+    return placed(settled(documents_only(docs), "contents"))
 
 
-def seen_digests(keys: DataFrame, state: str | None = None) -> DataFrame:
-    """(digest, first, n): the state of the stream over ``keys`` (digest, doc_id, loc).
+def seen_digests(keys: DataFrame, at: str) -> DataFrame:
+    """(digest, first, n) of the digests of ``keys`` (digest, doc_id, loc), as the stream's state has them after these keys.
 
     ``first`` is the struct (at, doc_id, loc) of the row that holds the digest: of the earliest
-    micro-batch, there of the smallest doc_id, then of the smallest locator. ``state`` is a folder
+    micro-batch, there of the smallest doc_id, then of the smallest locator. ``at`` is a folder
     that keeps the stream's keys, checkpoint and output from one call to the next; a further call
     with the same folder goes on from the digests that it knows. All rows of a call form one
     micro-batch.
     """
-    spark = keys.sparkSession
-    at = state or fresh_path(spark, "seen")
+    spark, batches = keys.sparkSession, []
     keys.write.mode("append").parquet(f"{at}/keys")
     own = spark.newSession()  # the state store's settings concern this query alone
     own.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
@@ -66,6 +71,7 @@ def seen_digests(keys: DataFrame, state: str | None = None) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         # A batch that is run again after a failure overwrites what it wrote before.
         batch.write.mode("overwrite").parquet(f"{at}/held/batch={number}")
+        batches.append(number)
 
     query = (
         held.writeStream.outputMode("update")
@@ -77,13 +83,10 @@ def seen_digests(keys: DataFrame, state: str | None = None) -> DataFrame:
     query.awaitTermination()
     if query.exception():
         raise query.exception()
-    schema = "digest binary, first struct<at: timestamp, doc_id: bigint, loc: struct<path: string, row: bigint>>, n bigint, batch int"
-    if not query.lastProgress or not _exists(spark, f"{at}/held"):
-        return spark.createDataFrame([], schema).drop("batch")
-    rows = spark.read.schema(schema).parquet(f"{at}/held")
-    if state is None:
-        return rows.drop("batch")  # one micro-batch: every digest once
-    return rows.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "batch").alias("s")).select("digest", "s.first", "s.n")
+    schema = "digest binary, first struct<at: timestamp, doc_id: bigint, loc: struct<path: string, row: bigint>>, n bigint"
+    if not batches:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{at}/held/batch={max(batches)}")
 
 
 def _exists(spark, path: str) -> bool:
@@ -92,64 +95,93 @@ def _exists(spark, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def _keys(located: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
-    return located.filter(F.col("text").isNotNull()).select(
-        digest(F.col("text")).cast("binary").alias("digest"), "doc_id", F.col("__loc").alias("loc")
+def _fetched(places: DataFrame) -> DataFrame:
+    """``places`` (digest, doc_id, loc) with ``there``, the text that lies at each locator."""
+    spark = places.sparkSession
+    files = [unquote(r["path"]) for r in places.select("loc.path").distinct().collect()]  # a row per file
+    if not files:
+        return places.withColumn("there", F.lit(None).cast("string"))
+    texts = spark.read.schema("text string").parquet(*files).select(
+        F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("row")).alias("loc"), F.col("text").alias("there")
     )
+    return texts.join(_small(places), "loc")
 
 
-#: The row of equal bytes that stays; rows that tie in all of these are the same in every column.
-_ORDER = ["doc_id", "source", "lang", "n_chars", "__loc"]
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def _judged(located: DataFrame, digest: Callable[[Column], Column], state: str | None) -> DataFrame:
+    """(loc, doc_id, keep_id, is_duplicate, digest) of the rows that have a text, each verified by bytes."""
+    spark = located.sparkSession
+    at = state or fresh_path(spark, "seen")
+    rows = located.filter(F.col("text").isNotNull()).withColumn("digest", digest(F.col("text")).cast("binary"))
+    keys = rows.select("digest", "doc_id", F.col("__loc").alias("loc"))
+    seen = seen_digests(keys, at)
+    several = seen.filter("n > 1").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.loc").alias("first_loc"))
+    # Digest and locator decide; what the bytes say otherwise is put right below.
+    told = keys.join(seen.select("digest", "first"), "digest").select(
+        "loc", "doc_id", F.col("first.doc_id").alias("keep_id"), (F.col("loc") != F.col("first.loc")).alias("is_duplicate"), "digest"
+    )
+    hits = settled(rows.join(_small(several), "digest").select("digest", "doc_id", F.col("__loc").alias("loc"), "first_id", "first_loc", "text"), "hits")
+    here = hits.filter(F.col("loc") == F.col("first_loc")).select("digest", F.col("text").alias("there"))
+    # What came first in an earlier call is fetched by its locator.
+    away = cut(several.join(hits.filter(F.col("loc") == F.col("first_loc")).select("digest"), "digest", "left_anti"))
+    firsts = here.unionByName(_fetched(away.select("digest", F.col("first_id").alias("doc_id"), F.col("first_loc").alias("loc"))).select("digest", "there"))
+    # Copies of a hot text may be a third of all rows: one row of it meets them in as many tasks as the join splits them into.
+    odd = settled(hits.filter(F.col("loc") != F.col("first_loc")).join(firsts, "digest").filter(F.col("text") != F.col("there")).drop("there"), "odd")
+    if odd.isEmpty():
+        return told
+    # Digests of several contents. Those of earlier calls are noted with their locators.
+    noted = spark.createDataFrame([], "digest binary, doc_id long, loc struct<path: string, row: bigint>")
+    if _exists(spark, f"{at}/others"):
+        noted = spark.read.schema(noted.schema).parquet(f"{at}/others").join(odd.select("digest").distinct(), "digest", "left_semi")
+    known = _fetched(cut(noted)).select("digest", F.col("there").alias("text"), F.col("doc_id").alias("known_id"), F.col("loc").alias("known_loc"))
+    same = Window.partitionBy("digest", "text").orderBy("doc_id", "loc")
+    ranked = odd.join(known, ["digest", "text"], "left").withColumn("rank", F.row_number().over(same)).withColumn("new_id", F.first("doc_id").over(same))
+    new = F.col("known_loc").isNull()
+    right = settled(
+        ranked.select("loc", "digest", "doc_id", F.when(new, F.col("new_id")).otherwise(F.col("known_id")).alias("right_id"), F.when(new, F.col("rank") > 1).otherwise(F.col("known_loc") != F.col("loc")).alias("right_dup"), new.alias("new")),
+        "right",
+    )
+    right.filter("new and not right_dup").select("digest", "doc_id", "loc").write.mode("append").parquet(f"{at}/others")
+    joined = told.join(_small(right.select("loc", "right_id", "right_dup")), "loc", "left")
+    changed = F.col("right_dup").isNotNull()
+    return joined.select(
+        "loc", "doc_id", F.when(changed, F.col("right_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("right_dup", "is_duplicate").alias("is_duplicate"), "digest"
+    )
+
+
+def exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
     """(doc_id, keep_id, is_duplicate, digest, path, row), one row per row of ``docs``.
 
     ``keep_id`` is the smallest doc_id among the rows whose text has the same bytes, the row's own
-    where no other has them; all but one of such rows are duplicates. Only doc_id, text, lang,
-    source and n_chars are looked at; other columns are ignored whatever their names. A null text
-    has no bytes: it is never a duplicate, and its digest is null. Empty texts are equal. Null
-    doc_ids come first. Rows that are repeated entirely are duplicates of one another. Texts whose
-    digests collide are told apart by their bytes. Texts may be of any length. An empty table
-    gives no rows. ``path`` and ``row`` locate the content where ``docs`` is read from files.
+    where no other has them; all but one of such rows are duplicates, of equal doc_ids the first by
+    locator isn't. With ``state``, a folder that all executors share, what was seen in earlier calls
+    with that folder counts too: their rows come first, whatever their doc_ids, and the files that
+    they were read from must still be there. Rows that come again from the same file and place are
+    what they were. Only doc_id, text, lang, source and n_chars are looked at; other columns are ignored
+    whatever their names. A null text has no bytes: it is never a duplicate, and its digest is null. Empty
+    texts are equal. Null doc_ids come first. Rows that are repeated entirely are duplicates of one
+    another. Texts whose digests collide are told apart by their bytes. Texts may be of any length. An
+    empty table gives no rows. ``path`` and ``row`` locate the content; rows that aren't read from
+    files are written to the shared folder first.
     """
     located = _located(docs)
-    keys = _keys(located, digest)
-    seen = seen_digests(keys)
-    several = seen.filter("n > 1").select(F.col("digest").alias("__digest"))
-    same = Window.partitionBy("__digest", "text").orderBy(*_ORDER)
-    verified = (
-        located.filter(F.col("text").isNotNull())
-        .withColumn("__digest", digest(F.col("text")).cast("binary"))
-        .join(several, "__digest")
-        .withColumn("rank", F.row_number().over(same))
-        .withColumn("keep_id", F.first("doc_id").over(same))
-        .select("doc_id", "keep_id", (F.col("rank") > 1).alias("is_duplicate"), F.col("__digest").alias("digest"), F.col("__loc").alias("loc"))
-    )
-    once = seen.filter("n = 1").select(
-        F.col("first.doc_id").alias("doc_id"),
-        F.col("first.doc_id").alias("keep_id"),
-        F.lit(False).alias("is_duplicate"),
-        "digest",
-        F.col("first.loc").alias("loc"),
-    )
     nothing = located.filter(F.col("text").isNull()).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(False).alias("is_duplicate"), F.lit(None).cast("binary").alias("digest"), F.col("__loc").alias("loc")
+        F.col("__loc").alias("loc"), "doc_id", F.col("doc_id").alias("keep_id"), F.lit(False).alias("is_duplicate"), F.lit(None).cast("binary").alias("digest")
     )
-    return verified.unionByName(once).unionByName(nothing).select(
+    return _judged(located, digest, state).unionByName(nothing).select(
         "doc_id", "keep_id", "is_duplicate", F.lower(F.hex("digest")).alias("digest"), F.col("loc.path").alias("path"), F.col("loc.row").alias("row")
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with the five columns of documents.
 
-    Texts are shuffled once: by digest, where each meets what the stream's state says of it. Rows
-    whose digest was seen once pass; the others are ranked among rows of equal bytes.
+    What holds there of nulls, empty and long texts, repeated rows, ties, columns and empty tables
+    holds here. Only the locators of the rows that go meet the texts.
     """
     located = _located(docs)
-    several = seen_digests(_keys(located, digest)).filter("n > 1").select(F.col("digest").alias("__digest"), F.lit(True).alias("__more"))
-    same = Window.partitionBy("__digest", "text").orderBy(*_ORDER)
-    joined = located.withColumn("__digest", digest(F.col("text")).cast("binary")).join(several, "__digest", "left")
-    ranked = joined.withColumn("__rank", F.row_number().over(same))
-    return ranked.filter(F.col("__more").isNull() | (F.col("__rank") == 1)).select(*DOCUMENT_COLUMNS)
+    gone = settled(_judged(located, digest, state).filter("is_duplicate").select(F.col("loc").alias("__loc")), "gone")
+    return located.join(_small(gone), "__loc", "left_anti").select(*DOCUMENT_COLUMNS)
