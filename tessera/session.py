@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +19,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -24,21 +27,45 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: of ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, as in tests, a local session gets a temporary folder, which goes when the
+    process ends. On a cluster a folder of the driver's machine would be of no use: that is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    made = getattr(shared_folder, "made", None)
-    if made is None:
-        made = shared_folder.made = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(made)
-    return made
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    made = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    sc.setCheckpointDir("file://" + made)
+    return shared_folder(spark)
+
+
+_runs: dict[str, str] = {}
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other call gets. What is written there goes when the process ends."""
+    shared = shared_folder(spark)
+    if shared not in _runs:
+        _runs[shared] = f"{shared}/tessera-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _runs[shared])
+    return f"{_runs[shared]}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, as far as the session is still there to do it."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session, or the way to it, has ended
+        pass
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
@@ -51,5 +78,8 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()``, after making sure that a checkpoint folder is set."""
-    shared_folder(df.sparkSession)
+    sc = df.sparkSession.sparkContext
+    shared = shared_folder(df.sparkSession)
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared)
     return df.checkpoint(eager=True)

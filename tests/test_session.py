@@ -1,0 +1,41 @@
+import os
+import subprocess
+import sys
+from types import SimpleNamespace
+
+import pytest
+
+from tessera import session
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def fake(master, conf=None, checkpoint=None):
+    held = SimpleNamespace(isDefined=lambda: checkpoint is not None, get=lambda: checkpoint)
+    sc = SimpleNamespace(master=master, getConf=lambda: conf or {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: held)))
+    return SimpleNamespace(sparkContext=sc, conf=conf or {})
+
+
+def test_the_named_folder_comes_first():
+    assert session.shared_folder(fake("yarn", {"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert session.shared_folder(fake("yarn", None, "hdfs://z/w")) == "hdfs://z/w"
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,1024]"])
+def test_a_cluster_gets_no_local_folder(master):
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_folder(fake(master))
+
+
+def test_intermediates_go_with_the_process(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from tessera.session import cut, settled
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+df = settled(spark.range(5), "rows")
+assert cut(df).count() == 5
+print(df.inputFiles()[0])
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, check=True).stdout
+    written = out.strip().splitlines()[-1].removeprefix("file://")
+    assert written.startswith(str(tmp_path)) and not os.path.exists(written)
