@@ -23,8 +23,8 @@ from tessera.session import settled
 CAPACITY = 2048
 #: Rows of the plan up to which it is broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 50_000
-#: Ranks within a length are counted in so many parts, so that no length is one task's work.
-PARTS = 64
+#: Ranks within a length are counted in parts of about so many pieces, so that no length is one task's work.
+PART_PIECES = 500_000
 
 
 def plan(histogram: list[tuple[int, int]], capacity: int = CAPACITY) -> tuple[list[tuple[int, ...]], int]:
@@ -88,9 +88,9 @@ def token_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(count, "doc_id long, tie long, n_tokens long")
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
+def _ranked(pieces: DataFrame, parts: int) -> DataFrame:
     """``pieces`` with ``rank``: counted from 0 within each length, part by part."""
-    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie", "chunk"), F.lit(PARTS)))
+    parted = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "tie", "chunk"), F.lit(parts)))
     order = Window.partitionBy("length", "part").orderBy("doc_id", "tie", "chunk")
     local = parted.withColumn("local", F.row_number().over(order) - 1)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -98,13 +98,15 @@ def _ranked(pieces: DataFrame) -> DataFrame:
     return local.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("local"))
 
 
-def pack(lengths: DataFrame, capacity: int = CAPACITY, n_tokens: str | Column = "n_tokens") -> DataFrame:
+def pack(lengths: DataFrame, capacity: int = CAPACITY, n_tokens: str | Column = "n_tokens", part_pieces: int = PART_PIECES) -> DataFrame:
     """(doc_id, chunk, start, length, bin, offset): where each piece of each document goes.
 
     ``lengths`` has doc_id, tie and n_tokens. A document of more than ``capacity`` tokens is cut
     into pieces of ``capacity`` and a rest. A length that is null or 0 takes no slot: its row has
     nulls in ``bin`` and ``offset``. Rows with equal doc_id and tie are packed one by one, their
-    slots given out in any order. Bins are numbered from 0, the longest pieces first.
+    slots given out in any order. Bins are numbered from 0, the longest pieces first. Pieces of one
+    length are alike to the plan; they take its slots by a hash of their documents. Columns beyond these
+    are left out, and an empty table gives no rows.
     """
     n = F.coalesce(n_tokens if isinstance(n_tokens, Column) else F.col(n_tokens), F.lit(0))
     whole = lengths.select("doc_id", "tie", n.alias("n"))
@@ -120,7 +122,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, n_tokens: str | Column =
     if len(entries) <= BROADCAST_ROWS:
         slots = F.broadcast(slots)
     within = F.col("rank") - F.col("rank_lo")
-    placed = _ranked(pieces).join(slots, (F.col("length") == F.col("at")) & F.col("rank").between(F.col("rank_lo"), F.col("rank_hi") - 1))
+    placed = _ranked(pieces, max(1, -(-max((n for _, n in histogram), default=0) // part_pieces))).join(slots, (F.col("length") == F.col("at")) & F.col("rank").between(F.col("rank_lo"), F.col("rank_hi") - 1))
     done = placed.select(
         "doc_id",
         "chunk",
@@ -137,7 +139,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str =
     """:func:`pack` by token counts, each document followed by one end token.
 
     Needs doc_id and text; other columns are ignored whatever their names. Null and empty texts
-    take no slot. Repeated rows are packed each. An empty table gives no rows.
+    take no slot. Repeated rows are packed each; ties are as in :func:`pack`. Texts of any length are
+    counted whole. An empty table gives no rows.
     """
     lengths = settled(token_lengths(documents_only(docs), vocabulary), "lengths")
     return pack(lengths, capacity, F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1))

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import duckdb
+import pytest
 from fixtures import AWKWARD, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,11 +55,12 @@ def check_layout(rows, capacity):
     assert set(by) == set(range(len(by)))
 
 
-def test_every_token_has_one_place(spark):
+@pytest.mark.parametrize("part_pieces", [3, packing.PART_PIECES])
+def test_every_token_has_one_place(spark, part_pieces):
     random.seed(8)
     n = [random.choice([0, None, 1, 5, 16, 17, 40, random.randint(1, 100)]) for _ in range(300)]
     lengths = spark.createDataFrame([(i // 2, i, x) for i, x in enumerate(n)], "doc_id long, tie long, n_tokens long")
-    rows = packing.pack(lengths, 16).collect()
+    rows = packing.pack(lengths, 16, part_pieces=part_pieces).collect()
     check_layout(rows, 16)
     pieces = [min(16, x - at) for x in n if x for at in range(0, x, 16)]
     assert Counter(r.length for r in rows if r.bin is not None) == Counter(pieces)
