@@ -13,22 +13,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that resemble a language of the corpus.
+
+    Null, empty and letterless texts leave; of repeated rows and ties all are judged alike; texts are
+    read whole; columns beyond the five of documents are left out. An empty table gives no rows.
+    """
     return langid.keep_known_languages(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each text, that of the smallest doc_id, of equal ones the first by place.
+
+    A null text is never a duplicate, empty texts are equal, texts of any length are compared whole,
+    and columns beyond the five are left out. An empty table gives no rows.
+    """
     return exactdedup.drop_exact_duplicates(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates, that of the smallest doc_id, then of the smallest text hash.
+
+    Null, empty and tokenless texts are near to none and stay; rows repeated with doc_id and text are
+    one document and stay or go together; whole texts are compared; columns beyond the five are left
+    out. An empty table gives no rows.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Draws blocks of each source by the square root of its tokens; rows are the documents' parts in the drawn blocks.
+
+    Null and empty texts have no part; a null source is "unknown"; repeated rows are as many
+    documents, in the order of the rows, so there are no ties; long texts are parts of several blocks;
+    columns beyond the five are left out. An empty table gives no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places each part, with its end token, in a bin of 2048 tokens by best fit: (doc_id, chunk, start, length, bin, offset).
+
+    Null and empty texts take no slot; repeated rows are placed each; parts of one length are alike
+    and take its slots by a hash; longer ones are cut; other columns are left out. An empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 
