@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import seeded_draw, squared_distance
-from tessera.session import cut
-
-#: Centroids are few and bounded by k; up to so many values they are written into the plan as a literal.
-LITERAL_VALUES = 200_000
+from tessera.session import cut, fresh_path
 
 
 def dimension_stats(points: DataFrame) -> DataFrame:
@@ -47,18 +45,25 @@ def standardize(points: DataFrame, limit: float = 3.0) -> tuple[DataFrame, DataF
     return z_scores(points.join(outliers, "point_id", "left_anti")), outliers
 
 
-def nearest(points: DataFrame, centroids: list[tuple[int, list[float]]]) -> DataFrame:
-    """``points`` with cluster_id and distance of the nearest centroid, the smallest id of equally near ones; -1 and null without any."""
+def nearest(points: DataFrame, centroids: list[tuple[int, list[float]]], spreads: dict[int, list[float]] | None = None) -> DataFrame:
+    """``points`` with cluster_id and distance of the nearest centroid, the smallest id of equally near ones; -1 and null without any.
+
+    All rows and columns stay. With ``spreads``, differences are divided by those of the centroid's id.
+    """
     if not centroids:
         return points.withColumn("cluster_id", F.lit(-1)).withColumn("distance", F.lit(None).cast("double"))
-    if sum(len(c) for _, c in centroids) <= LITERAL_VALUES:
-        table = F.array(*[F.struct(F.lit(i).alias("id"), F.array(*[F.lit(float(x)) for x in c]).alias("c")) for i, c in centroids])
-        best = F.array_min(F.transform(table, lambda c: F.struct(F.sqrt(squared_distance(F.col("features"), c["c"])).alias("d"), c["id"].alias("id"))))
-        return points.withColumn("__b", best).withColumn("cluster_id", F.col("__b.id")).withColumn("distance", F.col("__b.d")).drop("__b")
-    rows = points.sparkSession.createDataFrame(centroids, "__id int, __c array<double>")
-    crossed = points.crossJoin(rows).withColumn("__d", F.struct(F.sqrt(squared_distance("features", "__c")).alias("d"), F.col("__id").alias("id")))
-    best = crossed.groupBy("point_id").agg(F.first("features").alias("features"), F.min("__d").alias("b"))
-    return best.select("point_id", "features", F.col("b.id").alias("cluster_id"), F.col("b.d").alias("distance"))
+    # One row with a struct for each centroid, of which the caller has k: it goes to every task whole.
+    rows = [(int(i), [float(x) for x in c], [1 / x for x in spreads[i]] if spreads else None) for i, c in centroids]
+    table = points.sparkSession.createDataFrame([(rows,)], "__c array<struct<id: int, c: array<double>, w: array<double>>>")
+
+    def apart(c: Column) -> Column:
+        if spreads:
+            return squared_distance(F.zip_with(F.col("features"), c["w"], lambda x, w: x * w), F.zip_with(c["c"], c["w"], lambda x, w: x * w))
+        return squared_distance(F.col("features"), c["c"])
+
+    far = F.transform("__c", lambda c: F.struct(F.sqrt(apart(c)).alias("d"), c["id"].alias("id")))
+    placed = points.crossJoin(F.broadcast(table)).withColumn("__b", F.array_min(far))
+    return placed.withColumn("cluster_id", F.col("__b.id")).withColumn("distance", F.col("__b.d")).drop("__b", "__c")
 
 
 def cluster_summary(assigned: DataFrame) -> DataFrame:
@@ -139,6 +144,10 @@ class Summaries:
     def centroids(self) -> list[tuple[int, list[float]]]:
         return [(i, [x / n for x in s]) for i, (n, s, _) in sorted(self.rows.items())]
 
+    def spreads(self) -> dict[int, list[float]]:
+        """Standard deviations by dimension; 1 where a cluster doesn't vary."""
+        return {i: [math.sqrt(v) if v > 1e-12 else 1.0 for v in (b / n - (a / n) ** 2 for a, b in zip(s, q))] for i, (n, s, q) in self.rows.items()}
+
     def points(self) -> int:
         return sum(n for n, _, _ in self.rows.values())
 
@@ -158,22 +167,51 @@ class Bfr:
 
     The discard set holds the k clusters of the first chunk, the compression set smaller clusters apart
     from them, and the retained set points that no cluster is near. A point joins the nearest cluster
-    whose centroid is nearer than ``alpha`` times the square root of the dimensions.
+    whose centroid is nearer than ``alpha`` times the square root of the dimensions. With ``scaled``,
+    distances to a cluster are in units of its standard deviations, dimension by dimension (Mahalanobis
+    without covariances); a dimension that the cluster doesn't vary in counts as it is.
+
+    Assignments are appended, chunk by chunk, to a folder; ``folder`` names it, and then also keeps the
+    summaries after each chunk, so that :meth:`resume` goes on from there.
     """
 
-    def __init__(self, k: int, alpha: float = 10.0, sample: float = 0.8, seed: int = 666):
-        self.k, self.alpha, self.sample, self.seed = k, alpha, sample, seed
+    def __init__(self, k: int, alpha: float = 10.0, sample: float = 0.8, seed: int = 666, scaled: bool = False, folder: str | None = None):
+        self.k, self.alpha, self.sample, self.seed, self.scaled, self.folder = k, alpha, sample, seed, scaled, folder
         self.discard, self.compression = Summaries(), Summaries()
         self.retained: DataFrame | None = None
-        self.assigned: DataFrame | None = None  # (point_id, cluster_id, in_discard)
-        self.outliers: DataFrame | None = None
+        self.parts: list[str] = []  # written (point_id, cluster_id, in_discard)
         self.rounds: list[dict[str, int]] = []
         self._next = 0
         self._dims = 0
 
     def _record(self, rows: DataFrame, in_discard: bool) -> None:
-        new = rows.select("point_id", "cluster_id", F.lit(in_discard).alias("in_discard"))
-        self.assigned = cut(new if self.assigned is None else self.assigned.unionByName(new))
+        """Writes what a chunk assigns beside what earlier ones did; nothing is written twice."""
+        if self.folder is None:
+            self.folder = fresh_path(rows.sparkSession, "bfr")
+        part = f"{self.folder}/assigned/round={len(self.rounds)}-{len(self.parts)}"
+        rows.select("point_id", F.col("cluster_id").cast("int").alias("cluster_id"), F.lit(in_discard).alias("in_discard")).write.mode("overwrite").parquet(part)
+        self.parts.append(part)
+
+    def _assigned(self, spark: SparkSession) -> DataFrame:
+        schema = "point_id bigint, cluster_id int, in_discard boolean"
+        return spark.read.schema(schema).parquet(*self.parts) if self.parts else spark.createDataFrame([], schema)
+
+    def _save(self, spark: SparkSession) -> None:
+        """The summaries, which k bounds, as one row, and the retained points; both in a folder of their round."""
+        n = len(self.rounds)
+        held = {k: getattr(self, k) for k in ("parts", "rounds", "_next", "_dims")} | {k: list(getattr(self, k).rows.items()) for k in ("discard", "compression")}
+        if self.retained is not None:
+            self.retained.write.mode("overwrite").parquet(f"{self.folder}/retained/{n}")
+            self.retained = spark.read.schema("point_id bigint, features array<double>").parquet(f"{self.folder}/retained/{n}")
+        spark.createDataFrame([(n, json.dumps(held | {"has_retained": self.retained is not None}))], "n int, held string").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/{n}")
+
+    def resume(self, spark: SparkSession, n: int) -> None:
+        """Goes back to what was after ``n`` chunks, which an earlier object with the same folder added."""
+        held = json.loads(spark.read.parquet(f"{self.folder}/state/{n}").first()["held"])
+        self.parts, self.rounds, self._next, self._dims = (held[k] for k in ("parts", "rounds", "_next", "_dims"))
+        self.discard, self.compression = (Summaries({i: tuple(x) for i, x in held[k]}) for k in ("discard", "compression"))
+        if held["has_retained"]:
+            self.retained = spark.read.schema("point_id bigint, features array<double>").parquet(f"{self.folder}/retained/{n}")
 
     def _compress(self, rest: DataFrame) -> None:
         """Clusters the points that no cluster took: singletons are retained, others join the compression set."""
@@ -192,13 +230,14 @@ class Bfr:
             renamed[i] = i if near is None else near
             fresh.merge(i, renamed[i], self.compression)
         if renamed:
-            mapped = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
-            self._record(groups.withColumn("cluster_id", mapped[F.col("cluster_id")]), False)
+            named = made.sparkSession.createDataFrame(list(renamed.items()), "cluster_id int, final int")  # a row for each cluster
+            self._record(groups.join(F.broadcast(named), "cluster_id").select("point_id", F.col("final").alias("cluster_id")), False)
 
     def add_chunk(self, points: DataFrame) -> None:
+        keep = self.folder is not None
         standard, out = standardize(points)
         standard = cut(standard)
-        self.outliers = cut(out if self.outliers is None else self.outliers.union(out))
+        self._record(out.withColumn("cluster_id", F.lit(-1)), False)
         first = standard.first()
         if first is not None:
             self._dims = len(first["features"])
@@ -213,7 +252,7 @@ class Bfr:
                 limit = F.lit(self.alpha * math.sqrt(self._dims))
                 rest = standard
                 for held, is_discard in ((self.discard, True), (self.compression, False)):
-                    placed = cut(nearest(rest, held.centroids()))
+                    placed = cut(nearest(rest, held.centroids(), held.spreads() if self.scaled else None))
                     inside = (F.col("cluster_id") >= 0) & (F.col("distance") < limit)
                     taken = placed.filter(inside)
                     held.add(taken)
@@ -232,10 +271,12 @@ class Bfr:
                 "nof_point_retained": self.retained.count() if self.retained is not None else 0,
             }
         )
+        if keep:
+            self._save(points.sparkSession)
 
-    def finish(self) -> BfrResult:
+    def finish(self, spark: SparkSession) -> BfrResult:
         """Merges compression clusters near a discard cluster into it; what is left over is outliers."""
-        limit, renamed = self.alpha * math.sqrt(self._dims), {i: i for i in self.discard.rows}
+        limit, renamed = self.alpha * math.sqrt(self._dims), {-1: -1} | {i: i for i in self.discard.rows}
         for i, c in self.compression.centroids():
             near = self.discard.nearest(c, limit)
             if near is None:
@@ -243,21 +284,21 @@ class Bfr:
             else:
                 renamed[i] = near
                 self.compression.merge(i, near, self.discard)
-        rows = [x.select("point_id", F.lit(-1).alias("cluster_id")) for x in (self.outliers, self.retained) if x is not None]
-        if self.assigned is not None and renamed:
-            mapped = F.create_map(*[F.lit(x) for pair in renamed.items() for x in pair])
-            rows.append(self.assigned.select("point_id", mapped[F.col("cluster_id")].alias("cluster_id")))
-        out = rows[0]
-        for x in rows[1:]:
-            out = out.unionByName(x)
+        named = spark.createDataFrame(list(renamed.items()), "cluster_id int, final int")  # a row for each cluster
+        out = self._assigned(spark).join(F.broadcast(named), "cluster_id").select("point_id", F.col("final").alias("cluster_id"))
+        if self.retained is not None:
+            out = out.unionByName(self.retained.select("point_id", F.lit(-1).alias("cluster_id")))
         return BfrResult(out, self.rounds)
 
 
-def bfr(chunks: Iterable[DataFrame], k: int, alpha: float = 10.0) -> BfrResult:
-    state = Bfr(k, alpha)
+def bfr(chunks: Iterable[DataFrame], k: int, alpha: float = 10.0, scaled: bool = False) -> BfrResult:
+    state, spark = Bfr(k, alpha, scaled=scaled), None
     for chunk in chunks:
+        spark = chunk.sparkSession
         state.add_chunk(chunk)
-    return state.finish()
+    if spark is None:
+        raise ValueError("there is no chunk")
+    return state.finish(spark)
 
 
 def normalized_mutual_information(labels: DataFrame) -> DataFrame:

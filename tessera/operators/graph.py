@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tessera.operators.pairs import pair_overlap
 from tessera.session import cut
 
-#: Betweenness of a component with at most so many edges is computed root by root in Python workers
-#: that each hold the component; a larger one goes level by level over joins.
-LOCAL_EDGES = 50_000
+#: A component of at most so many edges, counted first, is broadcast: its betweenness is found root by root in
+#: Python workers that each hold it. A larger one goes level by level over joins; both ways give the same.
+BROADCAST_EDGES = 50_000
 
 
 def co_occurrence_edges(df: DataFrame, id: str, item: str, threshold: int) -> DataFrame:
@@ -198,8 +198,8 @@ def girvan_newman(edges: DataFrame) -> tuple[DataFrame, float]:
 
 def _scores(edges: DataFrame) -> DataFrame:
     once = edges.filter("src < dst")
-    rows = once.limit(LOCAL_EDGES + 1).collect()
-    if len(rows) > LOCAL_EDGES:
+    rows = once.limit(BROADCAST_EDGES + 1).collect()
+    if len(rows) > BROADCAST_EDGES:
         return cut(edge_betweenness(edges))
     if not rows:
         return edge_betweenness(edges)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bucket
+from tessera.operators.relational import small
 from tessera.session import cut
 
 
@@ -87,39 +88,59 @@ def combinations_of(items: str, k: int):
     return out
 
 
-def mine_list(basket_list: list[list[str]], support: int) -> list[tuple[str, ...]]:
-    """All frequent itemsets of a list of baskets, level by level."""
-    sets = [frozenset(b) for b in basket_list]
-    counts: dict[tuple[str, ...], int] = {}
-    for s in sets:
-        for x in s:
-            counts[(x,)] = counts.get((x,), 0) + 1
-    level = sorted(c for c, n in counts.items() if n >= support)
-    out = list(level)
+def mine_list(basket_list: Iterable[list[str]], support: int | Callable[[], int]) -> list[tuple[str, ...]]:
+    """All frequent itemsets of the baskets, by size and then in order. ``support`` may be a function that is called when all are read.
+
+    Each item's baskets are kept as an array of their numbers; itemsets that agree in all but their last
+    item are joined by intersecting their arrays, so no basket is looked at again.
+    """
+    held: dict[str, list[int]] = {}
+    for i, b in enumerate(basket_list):
+        for x in dict.fromkeys(b):
+            held.setdefault(x, []).append(i)
+    if callable(support):
+        support = support()
+    level = [((x,), np.array(at, np.int32)) for x, at in sorted(held.items()) if len(at) >= support]
+    held.clear()
+    out = [c for c, _ in level]
     while level:
-        known = set(level)
-        size = len(level[0]) + 1
-        by_stem: dict[tuple[str, ...], list[str]] = {}
-        for c in level:
-            by_stem.setdefault(c[:-1], []).append(c[-1])
-        new = [stem + pair for stem, lasts in by_stem.items() for pair in combinations(lasts, 2)]
-        new = [c for c in new if all(x in known for x in combinations(c, size - 1))]
-        level = sorted(c for c in new if sum(s.issuperset(c) for s in sets) >= support)
-        out += level
+        new = []
+        for i, (c, at) in enumerate(level):
+            for d, more in level[i + 1 :]:
+                if c[:-1] != d[:-1]:
+                    break
+                both = np.intersect1d(at, more, assume_unique=True)
+                if len(both) >= support:
+                    new.append((c + d[-1:], both))
+        level = new
+        out += [c for c, _ in level]
     return out
 
 
-def son_itemsets(basket_table: DataFrame, support: int, partitions: int = 8) -> DataFrame:
-    """(items, size, support): candidates mined in each partition at its share of the support, then counted over all baskets."""
-    shared = cut(basket_table.select("items").repartition(partitions))
+def son_itemsets(basket_table: DataFrame, support: int, partitions: int | None = None) -> DataFrame:
+    """(items, size, support): candidates mined in each partition at its share of the support, then counted over all baskets.
+
+    A partition without any candidate gives no row. ``partitions`` is that of shuffles if not given.
+    """
+    spark = basket_table.sparkSession
+    shared = cut(basket_table.select("items").repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))))
     total = shared.count()
 
-    def mine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [list(x) for b in batches for x in b["items"]]
-        if own:
-            yield pd.DataFrame({"items": [list(c) for c in mine_list(own, math.ceil(support * len(own) / total))]})
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+
+        def each() -> Iterator[list[str]]:
+            nonlocal n
+            for b in batches:
+                n += b.num_rows
+                yield from b.column("items").to_pylist()
+
+        # The share is known when the partition has been read.
+        found = mine_list(each(), lambda: math.ceil(support * n / max(1, total)))
+        for at in range(0, len(found), 10_000):
+            yield pa.record_batch([pa.array(found[at : at + 10_000], pa.list_(pa.string()))], names=["items"])
 
-    candidates = shared.mapInPandas(mine, "items array<string>").distinct().withColumn("first", F.element_at("items", 1))
+    candidates = small(cut(shared.mapInArrow(mine, "items array<string>").distinct().withColumn("first", F.element_at("items", 1))))
     # A candidate meets the baskets that hold its first item.
     met = shared.select("items", F.explode("items").alias("first")).withColumnRenamed("items", "basket").join(candidates, "first")
     inside = met.filter(F.size(F.array_except("items", "basket")) == 0)

@@ -72,6 +72,25 @@ def having(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key), key, "left_semi")
 
 
+def holding(df: DataFrame, column: str) -> DataFrame:
+    """Rows that have a value in the column: records of one kind in a table of several."""
+    return df.filter(F.col(column).isNotNull())
+
+
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """Rows with the key's value; the filter is pushed down to the files."""
+    return df.filter(F.col(key) == F.lit(value))
+
+
+def group_to_map(df: DataFrame, group: str, key: str, value: str) -> DataFrame:
+    """(group, map) from key to value, in order of the keys; of several values of a key the largest counts. Null keys are left out.
+
+    One value for each key is settled by an aggregation before the groups are put together.
+    """
+    one = df.filter(F.col(key).isNotNull()).groupBy(F.col(group).alias("group"), F.col(key).alias("k")).agg(F.max(value).alias("v"))
+    return one.groupBy("group").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("map"))
+
+
 def lacking(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key doesn't occur in ``ids``."""
     return df.join(ids.select(key), key, "left_anti")

@@ -39,6 +39,26 @@ def chunk_files(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
 
 
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """The folders in a folder, none where it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().toString() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
+
+def mixed_records(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of a file of JSON lines of several kinds: by key, the records that have it, in the key's schema.
+
+    A record with several of the keys is in several tables, one with none in none. A key whose value is null counts as absent.
+    """
+    every = spark.read.text(path).filter("trim(value) <> ''")
+    out = {}
+    for key, schema in schemas.items():
+        parsed = every.select(F.from_json("value", schema).alias("r")).select("r.*")
+        out[key] = parsed.filter(F.col(key).isNotNull())
+    return out
+
+
 def point_chunks(spark: SparkSession, folder: str) -> Iterator[DataFrame]:
     for path in chunk_files(spark, folder):
         yield points(spark, path)

@@ -1,7 +1,9 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
+import xxhash
 
 from tessera.operators import itemsets
 
@@ -48,3 +50,34 @@ def test_combinations_in_row(spark):
     b = frame(spark, [["d", "b", "a", "c"], ["x"]])
     rows = b.select(itemsets.combinations_of("items", 3).alias("c")).collect()
     assert sorted(tuple(c) for r in rows for c in r["c"]) == list(combinations("abcd", 3))
+
+
+def test_partitions_where_nothing_reaches_its_share(spark):
+    """One item in most baskets, among many partitions with few or none of them."""
+    b = frame(spark, [["x"]] * 40 + [["y"], ["z"], ["y", "w"], ["q"]])
+    for partitions in (8, 40, 100):
+        assert got(itemsets.son_itemsets(b, 38, partitions)) == {("x",): 40}
+    assert got(itemsets.son_itemsets(b.limit(0), 2)) == {}
+    assert got(itemsets.son_itemsets(b, 2)) == {("x",): 40, ("y",): 2}
+
+
+def test_mined_lists_of_larger_baskets():
+    rng = random.Random(3)
+    baskets = [rng.sample([f"i{k:02}" for k in range(25)], rng.randint(3, 12)) for _ in range(60)]
+    want = brute(baskets, 12)
+    assert itemsets.mine_list(baskets, 12) == sorted(want, key=lambda c: (len(c), c))
+    assert itemsets.mine_list(iter(baskets), lambda: 12) == itemsets.mine_list(baskets, 12)
+
+
+def test_hashed_buckets_by_brute_force(spark):
+    rng = random.Random(7)
+    baskets = [rng.sample([str(i) for i in range(30)], rng.randint(1, 6)) for _ in range(80)]
+    b = frame(spark, baskets)
+    support, buckets = 6, 40
+    frequent = {x for x in {x for b in baskets for x in b} if sum(x in b for b in baskets) >= support}
+    each = [p for b in baskets for p in combinations(sorted(set(b) & frequent), 2)]
+    chained = lambda a, b: xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    full = Counter(signed(chained(*p)) % buckets for p in each)
+    want = {p for p in each if full[signed(chained(*p)) % buckets] >= support}
+    assert {tuple(r) for r in itemsets.hashed_pair_candidates(b, support, buckets).collect()} == want
