@@ -35,6 +35,8 @@ BITS = SEGMENTS * golay.LENGTH
 MAX_DISTANCE = 34
 #: Near duplicates share at least this part of their features.
 MIN_JACCARD = 0.6
+#: Numbers of nodes up to which they are broadcast to find their features; more are joined by shuffling.
+BROADCAST_NODES = 500_000
 _WORD = re.compile(r"\w+")
 #: Keys of smallest features: so many bands of so many hash functions; and as many keys with a segment's index.
 BANDS, BAND_ROWS = 15, 3
@@ -404,6 +406,8 @@ def _groups(docs: DataFrame, max_distance: int, min_jaccard: float) -> tuple[Dat
     nodes = settled(given.groupBy("node").agg(F.min("hi").alias("hi"), F.min("lo").alias("lo"), F.first("bands").alias("bands")), "nodes")
     edges = settled(candidate_edges(nodes, max_distance), "edges")
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if ends.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES:
+        ends = F.broadcast(ends)
     sets = settled(given.select("node", "features").join(ends, "node").groupBy("node").agg(F.first("features").alias("features")), "sets")
     similar = settled(_similar(edges, sets, min_jaccard), "similar")
     labels = components(similar)
