@@ -35,8 +35,9 @@ def guarded_ratio(numerator: Column, denominator: Column, otherwise: float = -1.
     return F.when(denominator == 0, F.lit(otherwise)).otherwise(numerator / F.when(denominator != 0, denominator))
 
 
-def squared_distance(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+def squared_distance(a: str, b: str) -> str:
+    """SQL of the sum of squared differences of two arrays, given as SQL."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), 0D, (s, v) -> s + v)"
 
 
 def bucket(n: int, *columns: Column | str) -> Column:

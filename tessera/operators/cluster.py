@@ -52,22 +52,21 @@ def nearest(points: DataFrame, centroids: list[tuple[int, list[float]]], spreads
     """
     if not centroids:
         return points.withColumn("cluster_id", F.lit(-1)).withColumn("distance", F.lit(None).cast("double"))
-    # One row with a struct for each centroid, of which the caller has k: it goes to every task whole.
-    rows = [(int(i), [float(x) for x in c], [1 / x for x in spreads[i]] if spreads else None) for i, c in centroids]
-    table = points.sparkSession.createDataFrame([(rows,)], "__c array<struct<id: int, c: array<double>, w: array<double>>>")
-
-    def apart(c: Column) -> Column:
-        if spreads:
-            return squared_distance(F.zip_with(F.col("features"), c["w"], lambda x, w: x * w), F.zip_with(c["c"], c["w"], lambda x, w: x * w))
-        return squared_distance(F.col("features"), c["c"])
-
-    far = F.transform("__c", lambda c: F.struct(F.sqrt(apart(c)).alias("d"), c["id"].alias("id")))
-    placed = points.crossJoin(F.broadcast(table)).withColumn("__b", F.array_min(far))
-    return placed.withColumn("cluster_id", F.col("__b.id")).withColumn("distance", F.col("__b.d")).drop("__b", "__c")
-
-
-def cluster_summary(assigned: DataFrame) -> DataFrame:
-    """(cluster_id, n, sum, sumsq) with sums by dimension."""
+    # One array with a struct for each centroid, of which the caller has k: a constant, which tasks get with their code.
+    rows = [{"id": int(i), "c": list(map(float, c)), "w": [1 / x for x in spreads[i]] if spreads else None} for i, c in centroids]
+    table = f"from_json('{json.dumps(rows)}', 'array<struct<id: int, c: array<double>, w: array<double>>>')"
+    x, c = ("zip_with(features, c.w, (x, w) -> x * w)", "zip_with(c.c, c.w, (x, w) -> x * w)") if spreads else ("features", "c.c")
+    # As SQL, which is parsed at once: lambdas of Python take longer to build than a small chunk to place.
+    least = F.expr(f"array_min(transform({table}, c -> struct(sqrt({squared_distance(x, c)}) AS d, c.id AS id))) AS __b")
+    kept = [F.col(f"`{n}`") for n in points.columns if n not in ("cluster_id", "distance")]
+    return points.select("*", least).select(*kept, F.col("__b.id").alias("cluster_id"), F.col("__b.d").alias("distance"))
+
+
+def cluster_summary(assigned: DataFrame, dims: int | None = None) -> DataFrame:
+    """(cluster_id, n, sum, sumsq) with sums by dimension. Where the dimensions are known, one aggregation gives them, without a row for each."""
+    if dims is not None:
+        sums = [", ".join(f"sum({term.format(f'features[{i}]')})" for i in range(dims)) for term in ("{0}", "{0} * {0}")]
+        return assigned.groupBy("cluster_id").agg(F.expr("count(1) AS n"), F.expr(f"array({sums[0]}) AS sum"), F.expr(f"array({sums[1]}) AS sumsq"))
     each = assigned.select("cluster_id", F.posexplode("features").alias("dim", "x"))
     sums = each.groupBy("cluster_id", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     ordered = F.sort_array(F.collect_list(F.struct("dim", "s", "q")))
@@ -111,7 +110,7 @@ def kmeans(points: DataFrame, k: int, min_cluster_id: int = 0, max_iterations: i
     try:
         sizes: dict[int, int] = {}
         for _ in range(max_iterations):
-            rows = cluster_summary(nearest(held, centroids)).collect()
+            rows = cluster_summary(nearest(held, centroids), len(starts[0])).collect()
             new = {r["cluster_id"]: r["n"] for r in rows}
             change = [new.get(i, 0) - sizes.get(i, 0) for i, _ in centroids]
             moved = {r["cluster_id"]: [x / r["n"] for x in r["sum"]] for r in rows}
@@ -131,8 +130,8 @@ class Summaries:
 
     rows: dict[int, tuple[int, list[float], list[float]]] = field(default_factory=dict)
 
-    def add(self, assigned: DataFrame) -> None:
-        for r in cluster_summary(assigned).collect():
+    def add(self, assigned: DataFrame, dims: int) -> None:
+        for r in cluster_summary(assigned, dims).collect():
             n, s, q = self.rows.get(r["cluster_id"], (0, [0.0] * len(r["sum"]), [0.0] * len(r["sum"])))
             self.rows[r["cluster_id"]] = (n + r["n"], [a + b for a, b in zip(s, r["sum"])], [a + b for a, b in zip(q, r["sumsq"])])
 
@@ -222,7 +221,7 @@ class Bfr:
         self.retained = cut(made.join(alone, "cluster_id", "left_semi").select("point_id", "features"))
         groups = made.join(alone, "cluster_id", "left_anti")
         fresh = Summaries()
-        fresh.add(groups)
+        fresh.add(groups, self._dims)
         renamed: dict[int, int] = {}
         old = Summaries(dict(self.compression.rows))
         for i, c in fresh.centroids():
@@ -245,7 +244,7 @@ class Bfr:
                 drawn = seeded_draw(self.seed, F.col("point_id")) < self.sample
                 part = kmeans(standard.filter(drawn), self.k, self._next)
                 self._next += self.k
-                self.discard.add(part)
+                self.discard.add(part, self._dims)
                 self._record(part, True)
                 self._compress(standard.join(part, "point_id", "left_anti"))
             else:
@@ -255,7 +254,7 @@ class Bfr:
                     placed = cut(nearest(rest, held.centroids(), held.spreads() if self.scaled else None))
                     inside = (F.col("cluster_id") >= 0) & (F.col("distance") < limit)
                     taken = placed.filter(inside)
-                    held.add(taken)
+                    held.add(taken, self._dims)
                     self._record(taken, is_discard)
                     rest = placed.filter(~F.coalesce(inside, F.lit(False))).select("point_id", "features")
                 if self.retained is not None:
