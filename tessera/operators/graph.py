@@ -154,9 +154,10 @@ def _betweenness_of(edges: DataFrame, part: list[tuple]) -> DataFrame:
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(modularity) of a labelling (id, label): over pairs of one label, (A - k k' / M) / M, with M directed edges.
 
-    The sum over pairs is taken from sums by label, so no pair without an edge is ever made.
+    The sum over pairs is taken from sums by label, so no pair without an edge is ever made. Without
+    any edge it is null.
     """
-    m = edges.agg(F.count(F.lit(1)).cast("double").alias("m"))
+    m = edges.agg(F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0)).alias("m"))
     deg = degrees(edges).join(labels, "id").groupBy("label").agg(F.sum("degree").alias("k"), F.sum(F.col("degree") * F.col("degree")).alias("kk"))
     inside = edges.join(labels.toDF("src", "l1"), "src").join(labels.toDF("dst", "l2"), "dst").filter("l1 = l2 and src < dst").agg(F.count(F.lit(1)).alias("inside"))
     expected = deg.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("expected"))

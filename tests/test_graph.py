@@ -90,3 +90,11 @@ def test_label_propagation_ties_go_to_the_smallest(spark):
 def test_empty(spark):
     e = spark.createDataFrame([], "src string, dst string")
     assert graph.components(e).count() == graph.edge_betweenness(e).count() == graph.label_propagation(e).count() == 0
+
+
+def test_no_edge_has_no_modularity_and_no_communities(spark):
+    """As in tables in which no two customers share enough parts."""
+    e = spark.createDataFrame([], "src long, dst long")
+    assert [tuple(r) for r in graph.modularity(e, spark.createDataFrame([], "id long, label long")).collect()] == [(None,)]
+    labels, q = graph.girvan_newman(e)
+    assert (labels.count(), q) == (0, 0.0)
