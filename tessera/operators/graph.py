@@ -64,8 +64,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, id, level, n_paths) from every root (id): distances, and how many shortest paths there are."""
-    front = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("level"), F.lit(1.0).alias("n_paths")))
+    """(root, id, level, n_paths) from every root (id): distances, and how many shortest paths there are. A null is no root."""
+    front = cut(roots.filter("id IS NOT NULL").select(F.col("id").alias("root"), "id", F.lit(0).alias("level"), F.lit(1.0).alias("n_paths")))
     seen, level = front, 0
     while not front.isEmpty():
         level += 1

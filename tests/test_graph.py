@@ -98,3 +98,9 @@ def test_no_edge_has_no_modularity_and_no_communities(spark):
     assert [tuple(r) for r in graph.modularity(e, spark.createDataFrame([], "id long, label long")).collect()] == [(None,)]
     labels, q = graph.girvan_newman(e)
     assert (labels.count(), q) == (0, 0.0)
+
+
+def test_no_edge_has_no_levels(spark):
+    """The smallest of no vertices is a row of null, which is no root."""
+    e = spark.createDataFrame([], "src long, dst long")
+    assert graph.bfs(e, e.selectExpr("min(src) AS id")).count() == 0
