@@ -1,11 +1,15 @@
-"""Pairs of ids that share items: an equi-join through the items, never a product of all ids."""
+"""Pairs of ids that share items: they meet in the lists of the items' ids, never in a product of all ids."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import guarded_ratio
+from tessera.session import settled
+
+#: A task counts about so many pairs; a list of ids that meet through an item has so many at most, longer ones go in pieces.
+PAIRS, LIST = 2_000_000, 4096
 
 
 def edges_of(df: DataFrame, id: str, item: str) -> DataFrame:
@@ -13,35 +17,79 @@ def edges_of(df: DataFrame, id: str, item: str) -> DataFrame:
     return df.select(F.col(id).alias("id"), F.col(item).alias("item")).na.drop().distinct()
 
 
+def item_lists(rows: DataFrame, item: str, *columns: str) -> DataFrame:
+    """The columns, of which the first is an id, as arrays: for each item one row, in order of the ids. Items of one id are left out."""
+    grouped = rows.repartition(item).groupBy(item).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("l")).filter(F.size("l") > 1)
+    return settled(grouped.select(*[F.col("l")[c].alias(c) for c in columns]), "lists")
+
+
+def tasks_for(spark: SparkSession, pairs: int) -> int:
+    """Enough tasks that each counts ``PAIRS`` pairs at most, as far as they fall evenly; small inputs keep the partitions of shuffles."""
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-pairs // PAIRS), min(usual, -(-pairs // 100_000)))
+
+
+def met_in_lists(lists: DataFrame, id: str, *carried: str) -> tuple[DataFrame, int]:
+    """(id1, ids), and carried columns as ``<name>1`` and ``<name>s``: for each list and id the list's greater ids; and how many pairs these are.
+
+    A pair is an entry of an array until it has reached the task of ``id1``, where it is met by all others of the two: no
+    row of a pair crosses a shuffle. Lists longer than ``LIST`` go in pieces, every two of them together.
+    """
+    n = F.size(id).cast("long")
+    total, longest = lists.agg(F.coalesce(F.sum(n * (n - 1) / 2), F.lit(0)).cast("long"), F.coalesce(F.max(n), F.lit(0))).first()
+    columns, tasks = [id, *carried], tasks_for(lists.sparkSession, total)
+    pieces = lists.withColumn("__j", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / LIST).cast("int")))).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__j"))))
+    piece = lambda c, k: F.slice(c, F.col(k) * LIST + 1, F.lit(LIST))
+    both = pieces.select("__i", "__j", *[piece(c, k).alias(f"{c}{k}") for c in columns for k in ("__i", "__j")])
+    if longest > LIST:
+        both = both.repartition(tasks)
+    each = both.select("*", F.posexplode(f"{id}__i").alias("__at", "id1"))
+    after = F.when(F.col("__i") == F.col("__j"), F.col("__at") + 2).otherwise(F.lit(1))
+    sent = each.select(
+        "id1",
+        *[F.col(f"{c}__i")[F.col("__at")].alias(f"{c}1") for c in carried],
+        F.slice(f"{id}__j", after, F.lit(LIST)).alias("ids"),
+        *[F.slice(f"{c}__j", after, F.lit(LIST)).alias(f"{c}s") for c in carried],
+    )
+    return sent.filter(F.size("ids") > 0), tasks
+
+
+def pairs_met(lists: DataFrame, id: str, *carried: str) -> DataFrame:
+    """(id1, id2), id1 < id2, and carried columns as ``<name>1`` and ``<name>2``: a row for each list that holds both, all of an id1 in one task."""
+    sent, tasks = met_in_lists(lists, id, *carried)
+    each = sent.repartition(tasks, "id1").select("*", F.posexplode("ids").alias("__at", "id2"))
+    return each.select("id1", "id2", *[x for c in carried for x in (f"{c}1", F.col(f"{c}s")[F.col("__at")].alias(f"{c}2"))])
+
+
+def _sized(df: DataFrame, id: str, item: str) -> DataFrame:
+    """Distinct (id, item, n), n the id's number of items; by one shuffle of the rows."""
+    e = df.select(F.col(id).alias("id"), F.col(item).alias("item")).na.drop().repartition("id").distinct()
+    return e.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("id")).cast("int"))
+
+
 def pair_overlap(df: DataFrame, id: str, item: str, min_shared: int = 1, max_ids_per_item: int | None = None) -> DataFrame:
     """(id1, id2, shared) of ids, id1 < id2, with at least ``min_shared`` distinct items in common.
 
-    Only ids with so many items can qualify; the others leave before the join. Items of more than
+    Only ids with so many items can qualify; the others leave before they meet. Items of more than
     ``max_ids_per_item`` ids are skipped if that is given; by default none are.
     """
-    e = edges_of(df, id, item)
-    if min_shared > 1:
-        enough = e.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_shared)
-        e = e.join(enough.select("id"), "id", "left_semi")
+    lists = item_lists(_sized(df, id, item).filter(F.col("n") >= min_shared), "item", "id")
     if max_ids_per_item is not None:
-        light = e.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= max_ids_per_item)
-        e = e.join(light.select("item"), "item", "left_semi")
-    a, b = e.select(F.col("id").alias("id1"), "item"), e.select(F.col("id").alias("id2"), "item")
-    pairs = a.join(b, "item").filter("id1 < id2").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.filter(F.col("shared") >= min_shared)
+        lists = lists.filter(F.size("id") <= max_ids_per_item)
+    shared = pairs_met(lists, "id").groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.filter(F.col("shared") >= min_shared)
 
 
 def jaccard_pairs(df: DataFrame, id: str, item: str, threshold: float = 0.05, max_items: int | None = 80) -> DataFrame:
     """(id1, id2, jaccard) at or above the threshold, of ids with at most ``max_items`` distinct items."""
-    e = edges_of(df, id, item)
-    sizes = e.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    e = _sized(df, id, item)
     if max_items is not None:
-        sizes = sizes.filter(F.col("n") <= max_items)
-        e = e.join(sizes.select("id"), "id", "left_semi")
-    shared = pair_overlap(e, "id", "item")
-    both = shared.join(sizes.toDF("id1", "n1"), "id1").join(sizes.toDF("id2", "n2"), "id2")
+        e = e.filter(F.col("n") <= max_items)
+    met = pairs_met(item_lists(e, "item", "id", "n"), "id", "n")
+    # The sizes are the same in all rows of a pair.
+    shared = met.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("shared"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
     ratio = F.col("shared") / (F.col("n1") + F.col("n2") - F.col("shared"))
-    return both.select("id1", "id2", ratio.alias("jaccard")).filter(F.col("jaccard") >= threshold)
+    return shared.select("id1", "id2", ratio.alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
 def minhash_signatures(df: DataFrame, id: str, item: str, n_hashes: int = 225) -> DataFrame:
