@@ -47,11 +47,33 @@ def test_jaccard_by_brute_force(spark, monkeypatch, size):
     assert got == want and want
 
 
+@pytest.mark.parametrize("size", [2, 4096])
+def test_pearson_by_brute_force(spark, monkeypatch, size):
+    in_pieces(monkeypatch, size)
+    rows, df = ratings(spark)
+    given = {}
+    for u, i, r in rows:
+        if u is not None and i is not None:
+            given.setdefault(u, {}).setdefault(i, []).append(r)
+    mean = {u: {i: sum(x) / len(x) for i, x in g.items()} for u, g in given.items()}
+    want = {}
+    for a, b in combinations(sorted(mean), 2):
+        both = sorted(mean[a].keys() & mean[b].keys())
+        if len(both) >= 3:
+            x, y = [mean[a][i] for i in both], [mean[b][i] for i in both]
+            mx, my = sum(x) / len(x), sum(y) / len(y)
+            vx, vy = sum((p - mx) ** 2 for p in x), sum((p - my) ** 2 for p in y)
+            want[a, b] = (len(both), sum((p - mx) * (q - my) for p, q in zip(x, y)) / (vx * vy) ** 0.5 if vx * vy > 1e-9 else -1.0)
+    got = {(r.id1, r.id2): (r.common, r.sim) for r in pairs.pearson_pairs(df, "user", "item", "rating", 3, None).collect()}
+    assert got.keys() == want.keys() and all(got[p][0] == n and abs(got[p][1] - s) < 1e-6 for p, (n, s) in want.items())
+
+
 @pytest.mark.parametrize(
     "made",
     [
         lambda df: pairs.pair_overlap(df, "user", "item", 2),
         lambda df: pairs.jaccard_pairs(df, "user", "item"),
+        lambda df: pairs.pearson_pairs(df, "user", "item", "rating"),
     ],
 )
 def test_no_row_of_a_pair_is_shuffled_and_tasks_grow_with_the_pairs(spark, monkeypatch, made):
