@@ -93,8 +93,11 @@ def jaccard_pairs(df: DataFrame, id: str, item: str, threshold: float = 0.05, ma
 
 
 def minhash_signatures(df: DataFrame, id: str, item: str, n_hashes: int = 225) -> DataFrame:
-    """(id, signature): per hash function the smallest hash of the id's items. One aggregation, no shuffle but that."""
-    e = edges_of(df, id, item)
+    """(id, signature): per hash function the smallest hash of the id's items.
+
+    Ids and items are shuffled, once; a signature, many times as long as both, is made where all items of its id are.
+    """
+    e = df.select(F.col(id).alias("id"), F.col(item).alias("item")).na.drop().repartition("id").distinct()
     least = [F.min(F.xxhash64(F.lit(i), "item")) for i in range(n_hashes)]
     return e.groupBy("id").agg(F.array(*least).alias("signature"))
 

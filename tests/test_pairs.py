@@ -85,3 +85,10 @@ def test_no_row_of_a_pair_is_shuffled_and_tasks_grow_with_the_pairs(spark, monke
     assert len(shuffles) == 1 and "id2" not in shuffles[0]
     met = sum(n * (n - 1) // 2 for n in Counter(i for x in sets_of(rows).values() for i in x).values())
     assert found.rdd.getNumPartitions() >= met / 40 / 2
+
+
+def test_signatures_are_not_shuffled(spark):
+    rows, df = ratings(spark)
+    made = pairs.minhash_signatures(df, "user", "item", 5)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r.id for r in made.collect()} == sets_of(rows).keys()
