@@ -74,6 +74,7 @@ def test_pearson_by_brute_force(spark, monkeypatch, size):
         lambda df: pairs.pair_overlap(df, "user", "item", 2),
         lambda df: pairs.jaccard_pairs(df, "user", "item"),
         lambda df: pairs.pearson_pairs(df, "user", "item", "rating"),
+        lambda df: pairs.lsh_jaccard_pairs(df, "user", "item", 0.3, 12, 6),
     ],
 )
 def test_no_row_of_a_pair_is_shuffled_and_tasks_grow_with_the_pairs(spark, monkeypatch, made):
@@ -92,3 +93,23 @@ def test_signatures_are_not_shuffled(spark):
     made = pairs.minhash_signatures(df, "user", "item", 5)
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert {r.id for r in made.collect()} == sets_of(rows).keys()
+
+
+@pytest.mark.parametrize("size", [2, 4096])
+def test_verified_candidates_are_the_pairs_of_a_bucket_with_their_similarity(spark, monkeypatch, size):
+    in_pieces(monkeypatch, size)
+    rows, df = ratings(spark)
+    sets = sets_of(rows)
+    met = {tuple(r) for r in pairs.lsh_candidates(pairs.minhash_signatures(df, "user", "item", 12), 6).collect()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in met}
+    got = [tuple(r) for r in pairs.lsh_jaccard_pairs(df, "user", "item", 0.3, 12, 6).collect()]
+    assert {r[:2]: r[2] for r in got} == {p: j for p, j in alike.items() if j >= 0.3} and len(got) == len(set(got))
+    assert len(met) < len(sets) * (len(sets) - 1) // 2
+
+
+def test_candidates_few_beside_the_pairs_of_items_are_verified_by_sets(spark):
+    """All have item 0; a signature of many rows a band puts hardly any two of them into a bucket."""
+    sets = {u: {0, *random.Random(u % 60).sample(range(1, 2000), 20)} for u in range(64)}
+    df = spark.createDataFrame([(u, i) for u, x in sets.items() for i in x], "user int, item int")
+    got = {(r.id1, r.id2): r.jaccard for r in pairs.lsh_jaccard_pairs(df, "user", "item", 0.9, 40, 4).collect()}
+    assert got == {(u, u + 60): 1.0 for u in range(4)}
