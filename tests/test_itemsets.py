@@ -81,3 +81,11 @@ def test_hashed_buckets_by_brute_force(spark):
     full = Counter(signed(chained(*p)) % buckets for p in each)
     want = {p for p in each if full[signed(chained(*p)) % buckets] >= support}
     assert {tuple(r) for r in itemsets.hashed_pair_candidates(b, support, buckets).collect()} == want
+
+
+def test_brand_baskets_are_made_once(spark):
+    """What is counted and mined is read from files, not joined and grouped again for each."""
+    from tessera.plans import catalogue
+
+    made, _ = catalogue._brand_baskets(spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
